@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, quality_rules
+from tidemark.llm import exact_dedup, mixing, quality_rules, sentencepiece_nbest, simhash
 from tidemark.llm.common import ensure_checkpoint_dir, read
 
 
@@ -20,7 +20,27 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, laid out in the order of the mixture."""
+    return mixing.ordered(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id with the ids, number and score of the best segmentation, and whether decoding restores the text."""
+    return sentencepiece_nbest.encode(docs).select("doc_id", "ids", "n_pieces", "score", "restored")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact),
+    ("simhash near dedup", near),
+    ("mixing to target weights", mix),
+    ("sentencepiece encoding", encode),
+]
 
 ORACLE_SQL = None
 
