@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,13 @@ def text_or_empty(column: str = "text") -> Column:
 def let(value: Column, body) -> Column:
     """Binds value once for body: inlined projections would evaluate it for each element of a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As cut(), for tables of many rows: a Parquet table in the shared checkpoint folder, which is compressed
+    and tells the planner its size."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
