@@ -6,7 +6,18 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, mixing, quality_rules, sentencepiece_nbest, simhash
+from tidemark.llm import (
+    exact_dedup,
+    html_extraction,
+    language_id,
+    mixing,
+    quality_rules,
+    repeats,
+    sentencepiece_nbest,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from tidemark.llm.common import read
 
 
@@ -24,10 +35,43 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_pieces", "score", "scores", "restored", digest.alias("ids_sha256"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(read(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n: the fold that a row belongs to."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = _remainder(3) == 1
+    model = language_id.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(4) == 2
+    labels = read(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
@@ -37,8 +81,13 @@ def queries() -> dict:
         "op1_exact_dedup": op1_exact_dedup,
         "op2_simhash": op2_simhash,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_html_extraction": op4_html_extraction,
         "op5_mixing": op5_mixing,
+        "op6_language_id": op6_language_id,
+        "op7_repeats": op7_repeats,
+        "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
+        "op10_toxicity": op10_toxicity,
         "pipeline": corpus_pipeline.run,
     }
 
