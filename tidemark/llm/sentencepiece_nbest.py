@@ -40,8 +40,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Links, and parts of links, that a worker remembers.
-REMEMBERED = 400_000
+#: Links of a generation, and parts of links, that a worker remembers.
+REMEMBERED = 350_000
 #: Longer links are searched without being remembered.
 LONG_LINK = 64
 
@@ -75,9 +75,13 @@ class Vocabulary:
         #: Links: a character that no piece has (a line break), or spaces and the word after them.
         alone = "\n" not in chars
         self.links = re.compile(r"\n| *[^ \n]+| +" if alone else r" *[^ ]+| +") if linked else re.compile(r"(?s).+")
+        #: The score of each piece; False for what only begins one.
+        self.ahead: dict[str, float | bool] = {piece[:k]: False for piece in self.ids for k in range(1, len(piece))}
+        self.ahead |= {piece: self.scores[i] for piece, i in self.ids.items()}
         #: Pairs of characters, as in texts, that stand side by side in a piece.
         self.beside = {pair.replace(SPACE, " ") for piece in self.ids for pair in map("".join, zip(piece, piece[1:]))}
         self.found: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
         self.known: dict[str, tuple] = {}
 
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
@@ -126,36 +130,49 @@ class Vocabulary:
         return out
 
     def two_best(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """Best score and ids, and how much the second best loses: the least loss over the pieces off the
-        best path, whose best completions a forward and a backward pass give."""
-        _, ends, best = self.lattice(text)
-        n = len(text)
-        after = [float("-inf")] * n + [0.0]
-        for end in range(n, 0, -1):
-            rest = after[end]
-            for start, score, _ in ends[end]:
-                if score + rest > after[start]:
-                    after[start] = score + rest
-        ids: list[tuple[int, ...]] = []
-        on, at = set(), n
-        while at:
-            for start, score, piece in ends[at]:
-                if best[start] + score == best[at]:
-                    on.add((start, at))
-                    ids.append(piece)
-                    at = start
+        """Best score and ids, and how much the second best loses: a forward pass that keeps two scores at
+        each place, and stops at the first character that no piece goes on with."""
+        shown = text.replace(SPACE, "￿").replace(" ", SPACE)
+        n, low, ahead = len(shown), float("-inf"), self.ahead.get
+        one, two, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
+        one[0] = 0.0
+        for start in range(n):
+            a, b, end = one[start], two[start], start + 1
+            score = ahead(shown[start:end])
+            if score is None or score is False:
+                x = a + self.unknown
+                if x > one[end]:
+                    two[end] = max(one[end], b + self.unknown)
+                    one[end], back[end] = x, start
+                elif x > two[end]:
+                    two[end] = x
+            while score is not None:
+                if score is not False:
+                    x = a + score
+                    if x > one[end]:
+                        y = one[end]
+                        two[end] = y if y > b + score else b + score
+                        one[end], back[end] = x, start
+                    elif x > two[end]:
+                        two[end] = x
+                end += 1
+                if end > n:
                     break
-        second = float("-inf")
-        for end in range(1, n + 1):
-            rest = after[end]
-            for start, score, _ in ends[end]:
-                if best[start] + score + rest > second and (start, end) not in on:
-                    second = best[start] + score + rest
-        return best[n], tuple(chain.from_iterable(reversed(ids))), best[n] - second
+                score = ahead(shown[start:end])
+        parts, at = [], n
+        while at:
+            piece = self.ids.get(shown[back[at] : at])
+            parts.append((piece,) if piece is not None else tuple(self.bytes[x] for x in text[back[at] : at].encode("utf-8", "surrogatepass")))
+            at = back[at]
+        return one[n], tuple(chain.from_iterable(reversed(parts))), one[n] - two[n]
 
     def link(self, text: str) -> tuple[float, tuple[int, ...], float]:
         """What two_best() finds for a link, from its parts: between two characters that stand side by side
         in no piece, the lattice falls apart."""
+        got = self.older.get(text)
+        if got is not None:
+            self._remember(text, got)
+            return got
         parts, begun = [], 0
         for k in range(1, len(text)):
             if text[k - 1 : k + 1] not in self.beside:
@@ -173,11 +190,15 @@ class Vocabulary:
             score, ids, loss = score + got[0], ids + got[1], min(loss, got[2])
         got = (score, ids, loss)
         if len(text) <= LONG_LINK:
-            if len(self.found) >= REMEMBERED:
-                self.found.clear()
-            self.found[text] = got
+            self._remember(text, got)
         return got
 
+    def _remember(self, text: str, got: tuple) -> None:
+        """Links are kept for two generations, so that a full table doesn't forget the frequent ones."""
+        if len(self.found) >= REMEMBERED:
+            self.older, self.found = self.found, {}
+        self.found[text] = got
+
     def chain_of(self, text: str) -> tuple[list[str], list[tuple]]:
         """The links of a whole text, with the dummy space before it, and what link() finds for them."""
         links, found = self.links.findall(" " + text) if text else [], self.found
