@@ -75,14 +75,19 @@ class Vocabulary:
         #: Links: a character that no piece has (a line break), or spaces and the word after them.
         alone = "\n" not in chars
         self.links = re.compile(r"\n| *[^ \n]+| +" if alone else r" *[^ ]+| +") if linked else re.compile(r"(?s).+")
-        #: The score of each piece; False for what only begins one.
-        self.ahead: dict[str, float | bool] = {piece[:k]: False for piece in self.ids for k in range(1, len(piece))}
-        self.ahead |= {piece: self.scores[i] for piece, i in self.ids.items()}
+        #: Pieces by character; "" holds the score and id of a piece that ends at a node.
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for char in piece:
+                node = node.setdefault(char, {})
+            node[""] = (self.scores[i], i)
         #: Pairs of characters, as in texts, that stand side by side in a piece.
         self.beside = {pair.replace(SPACE, " ") for piece in self.ids for pair in map("".join, zip(piece, piece[1:]))}
         self.found: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.known: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
 
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For each end: its pieces as (start, score, ids), longest first, and the best score of each prefix."""
@@ -130,46 +135,49 @@ class Vocabulary:
         return out
 
     def two_best(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """Best score and ids, and how much the second best loses: a forward pass that keeps two scores at
-        each place, and stops at the first character that no piece goes on with."""
+        """Best score and ids, and how much the second best loses: a forward pass over the trie of pieces that
+        keeps two scores at each place."""
         shown = text.replace(SPACE, "￿").replace(" ", SPACE)
-        n, low, ahead = len(shown), float("-inf"), self.ahead.get
-        one, two, back = [low] * (n + 1), [low] * (n + 1), [0] * (n + 1)
+        n, low, trie = len(shown), float("-inf"), self.trie
+        one, two, back = [low] * (n + 1), [low] * (n + 1), [(0, 0)] * (n + 1)
         one[0] = 0.0
-        for start in range(n):
+        for start, char in enumerate(shown):
             a, b, end = one[start], two[start], start + 1
-            score = ahead(shown[start:end])
-            if score is None or score is False:
+            node = trie.get(char)
+            if node is None or "" not in node:
                 x = a + self.unknown
                 if x > one[end]:
                     two[end] = max(one[end], b + self.unknown)
-                    one[end], back[end] = x, start
+                    one[end], back[end] = x, (start, -1)
                 elif x > two[end]:
                     two[end] = x
-            while score is not None:
-                if score is not False:
+            while node is not None:
+                piece = node.get("")
+                if piece is not None:
+                    score, i = piece
                     x = a + score
-                    if x > one[end]:
-                        y = one[end]
+                    y = one[end]
+                    if x > y:
                         two[end] = y if y > b + score else b + score
-                        one[end], back[end] = x, start
+                        one[end] = x
+                        back[end] = (start, i)
                     elif x > two[end]:
                         two[end] = x
-                end += 1
-                if end > n:
+                if end == n:
                     break
-                score = ahead(shown[start:end])
+                node = node.get(shown[end])
+                end += 1
         parts, at = [], n
         while at:
-            piece = self.ids.get(shown[back[at] : at])
-            parts.append((piece,) if piece is not None else tuple(self.bytes[x] for x in text[back[at] : at].encode("utf-8", "surrogatepass")))
-            at = back[at]
+            start, i = back[at]
+            parts.append((i,) if i >= 0 else tuple(self.bytes[x] for x in text[start:at].encode("utf-8", "surrogatepass")))
+            at = start
         return one[n], tuple(chain.from_iterable(reversed(parts))), one[n] - two[n]
 
     def link(self, text: str) -> tuple[float, tuple[int, ...], float]:
         """What two_best() finds for a link, from its parts: between two characters that stand side by side
         in no piece, the lattice falls apart."""
-        got = self.older.get(text)
+        got = self.older.pop(text, None)
         if got is not None:
             self._remember(text, got)
             return got
@@ -183,9 +191,9 @@ class Vocabulary:
         for part in parts:
             got = self.known.get(part)
             if got is None:
-                got = self.two_best(part)
+                got = self.before.pop(part, None) or self.two_best(part)
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.before, self.known = self.known, {}
                 self.known[part] = got
             score, ids, loss = score + got[0], ids + got[1], min(loss, got[2])
         got = (score, ids, loss)
