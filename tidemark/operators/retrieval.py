@@ -39,12 +39,14 @@ def scored(entries: DataFrame, query: str, embedding: list[float] | None = None,
 def pack(candidates: DataFrame, budget: int, group: list[str] | None = None) -> DataFrame:
     """Adds packed and pack_rank: whole items in order of (score desc, key), skipping what does not fit.
 
-    Items over the whole budget can never fit and leave first. Of the rest, an item whose cost
-    plus the least that must come before it is over the budget can still matter only if it fits,
-    so the fold needs (rank, cost) alone: texts stay out of it. The fold runs once per group.
+    What is used never shrinks, so once an item of some cost is skipped, all later ones of that
+    cost are: those packed are the first of their cost, at most budget / cost. Only these, a
+    number that the budget bounds (about budget * ln(budget)) whatever the corpus, are folded.
     """
     group = group or []
-    fits = candidates.where(F.col("cost") <= budget)
+    of_cost = Window.partitionBy(*group, "cost").orderBy(F.desc("score"), "key")
+    fits = candidates.select(*group, "key", "score", "cost").where((F.col("cost") <= budget) & (F.col("cost") > 0)).withColumn("n", F.row_number().over(of_cost))
+    fits = fits.where((F.col("n") <= max(budget, 1)) & (F.col("n") * F.col("cost") <= budget))
     item = F.struct((-F.col("score")).alias("s"), F.col("key").alias("key"), F.col("cost").alias("cost"))
     queue = fits.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("queue"))
     empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<key:string,rank:int>>").alias("keys"))
