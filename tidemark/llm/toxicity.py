@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE_CLASS, cut, text_or_empty
+from tidemark.llm.common import cut, text_or_empty
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 8_000
@@ -116,7 +116,10 @@ def features(automaton, text: str) -> list[float]:
     more = 0
     if count[3] or count[5] or count[7]:
         more = max(0, len(_scan(automaton, lower.translate(_UNDO))[0]) - len(hits))
-    near = sum(1 for at, _, _ in hits if any(abs(at - p) <= NEAR_CHARS for p in persons)) if persons else 0
+    near = 0
+    if hits and persons:
+        places, at = np.sort(persons), np.array([h[0] for h in hits])
+        near = int((np.searchsorted(places, at + NEAR_CHARS, "right") > np.searchsorted(places, at - NEAR_CHARS, "left")).sum())
     weights = [w for _, w, _ in hits]
     return [
         len(hits) / words,
