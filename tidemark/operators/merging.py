@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,3 +79,17 @@ def conflicts(plan: DataFrame) -> DataFrame:
 def writes(plan: DataFrame) -> DataFrame:
     """What the merge would write to the target: keys whose record changes."""
     return plan.where(F.col("merged").isNotNull() & ~F.col("merged").eqNullSafe(F.col("target"))).select("key", "outcome", "merged")
+
+
+def resolve(plan: DataFrame, resolver) -> DataFrame:
+    """Settles conflicts by a resolver over batches: it gets a pandas frame of key, source and target (as JSON) and
+    returns a series of "source", "target" or "conflict", one for each row."""
+
+    @F.pandas_udf("string")
+    def choice(key: pd.Series, source: pd.Series, target: pd.Series) -> pd.Series:
+        return resolver(pd.DataFrame({"key": key, "source": source, "target": target}))
+
+    asked = plan.withColumn("choice", F.when(F.col("outcome") == "conflict", choice("key", F.to_json("source"), F.to_json("target"))))
+    picked = F.when(F.col("choice") == "source", F.lit("policy_source")).when(F.col("choice") == "target", F.lit("policy_target")).otherwise(F.col("outcome"))
+    merged = F.when(F.col("choice") == "source", F.col("source")).when(F.col("choice") == "target", F.col("target")).otherwise(F.col("merged"))
+    return asked.withColumn("outcome", picked).withColumn("merged", merged).drop("choice")

@@ -45,3 +45,23 @@ def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     for f in FIELDS:
         same = same & F.col(f).eqNullSafe(F.col(f"v_{f}"))
     return requests.join(named, same).drop(*[f"v_{f}" for f in FIELDS])
+
+
+def validate(document: dict | None) -> list[tuple]:
+    """Rules of a policy document {version, rules}, as rows for the rules table. No document allows nothing."""
+    if document is None:
+        return []
+    if not 1 <= len(str(document.get("version", ""))) <= 128:
+        raise ValueError("the version must have 1 to 128 characters")
+    rows = document.get("rules", [])
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    out = []
+    for r in rows:
+        for f in ("actor", "purpose", "action"):
+            if r.get(f) is not None and not 1 <= len(r[f].encode()) <= 256:
+                raise ValueError(f"{f} must have 1 to 256 bytes")
+        if r.get("effect") not in ("Allow", "Deny") or r.get("label") not in (None, 0, 1, 2, 3):
+            raise ValueError("a rule needs an effect of Allow or Deny, and a known label")
+        out.append((r.get("actor"), r.get("label"), r.get("purpose"), r.get("action"), r["effect"]))
+    return out

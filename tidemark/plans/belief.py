@@ -31,9 +31,12 @@ def interval_contains(spark, sf_dir):
 
 
 def interval_overlap_contradictions(spark, sf_dir):
-    """Claims of one key with overlapping validity and different objects. A claim that starts in an
-    hour can only overlap an earlier start of the same key; ends are at most 30 days off, so pairs
-    are sought within the bucket of their key and start day, and those of the days before."""
+    """Claims of one key with bounded, overlapping validity and different objects.
+
+    Each claim is laid over spans of ten days; the later of a pair starts within one span of the
+    earlier, so an equality join on (key, span) finds every pair once. Claims without an end would
+    overlap all later ones of their key; those are versions (see superseded_versions), not listed in pairs.
+    """
     c = A.claims(spark, sf_dir).where(F.col("valid_end").isNotNull()).select("subject", "predicate", "event_id", "object", "valid_start", "valid_end")
     left = c.select("subject", "predicate", F.explode(F.sequence(F.floor(F.col("valid_start") / (10 * A.DAY_MS)), F.floor((F.col("valid_end") - 1) / (10 * A.DAY_MS)))).alias("span"), F.col("event_id").alias("a"), F.col("object").alias("object_a"), F.col("valid_start").alias("start_a"), F.col("valid_end").alias("end_a"))
     right = c.select("subject", "predicate", F.floor(F.col("valid_start") / (10 * A.DAY_MS)).alias("span"), F.col("event_id").alias("b"), F.col("object").alias("object_b"), F.col("valid_start").alias("start_b"), F.col("valid_end").alias("end_b"))

@@ -117,16 +117,18 @@ def merge_provenance_parents(spark, sf_dir):
 
 
 def commit_ancestors(spark, sf_dir):
+    """Per last turn of a conversation, how many commits it descends from, itself included, and how deep."""
     c = A.commits(spark, sf_dir)
-    heads = c.where(F.col("commit").endswith(".2")).select(F.col("commit").alias("head")).distinct()
+    last = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    heads = last.select(F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("last").cast("string")).alias("head"))
     return graph.ancestors(c, heads).groupBy("head").agg(F.count(F.lit(1)).alias("ancestors"), F.max("depth").cast("int").alias("depth"))
 
 
 def _pairs(spark, sf_dir):
-    """Pairs of last turns of neighbouring conversations whose first one ends in 0 or 5."""
+    """Pairs of last turns of neighbouring conversations."""
     c = A.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last"))
     head = F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("last").cast("string"))
-    one = c.where(F.col("conv_id") % 5 == 0).select("conv_id", head.alias("a"))
+    one = c.select("conv_id", head.alias("a"))
     two = c.select((F.col("conv_id") - 1).alias("conv_id"), head.alias("b"))
     return one.join(two, "conv_id").select("a", "b")
 
@@ -203,7 +205,7 @@ up AS (SELECT h.head, h.head AS "commit", 0 AS depth FROM heads h
        UNION SELECT u.head, c.parent, u.depth + 1 FROM up u JOIN commits c ON c."commit" = u."commit")"""
 
 _PAIRS_SQL = """
-pp AS (SELECT a.conv_id || '.' || a.last AS a, b.conv_id || '.' || b.last AS b FROM lasts a JOIN lasts b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 5 = 0),
+pp AS (SELECT a.conv_id || '.' || a.last AS a, b.conv_id || '.' || b.last AS b FROM lasts a JOIN lasts b ON b.conv_id = a.conv_id + 1),
 names AS (SELECT DISTINCT "commit" AS head FROM commits UNION SELECT parent FROM commits),
 reach AS (SELECT head, head AS "commit" FROM names UNION SELECT r.head, c.parent FROM reach r JOIN commits c ON c."commit" = r."commit"),
 common AS (SELECT DISTINCT a, b, x."commit" AS base FROM pp JOIN reach x ON x.head = a JOIN reach y ON y.head = b AND y."commit" = x."commit"),
@@ -239,7 +241,7 @@ SQL = {
         AND (r_purpose IS NULL OR r_purpose = purpose) AND (r_action IS NULL OR r_action = action) GROUP BY key)
       SELECT key, CASE WHEN d OR NOT a THEN 'Deny' ELSE 'Allow' END AS decision, CASE WHEN d THEN 'a rule denies' WHEN a THEN 'a rule allows' ELSE 'no rule applies' END AS rationale FROM v""",
     "merge_provenance_parents": f"""WITH {MERGE_SQL} SELECT key, CASE WHEN outcome IN ('counter', 'set') THEN 'source:' || key || ',target:' || key ELSE 'source:' || key END AS parents FROM writes""",
-    "commit_ancestors": f"""WITH RECURSIVE {A.COMMITS_SQL}, heads AS (SELECT DISTINCT "commit" AS head FROM commits WHERE "commit" LIKE '%.2'), {_ALL_UP},
+    "commit_ancestors": f"""WITH RECURSIVE {A.COMMITS_SQL}, heads AS (SELECT conv_id || '.' || last AS head FROM lasts), {_ALL_UP},
       nearest AS (SELECT head, "commit", min(depth) AS depth FROM up GROUP BY ALL)
       SELECT head, count(*) AS ancestors, CAST(max(depth) AS INTEGER) AS depth FROM nearest GROUP BY head""",
     "merge_base": f"WITH RECURSIVE {A.COMMITS_SQL}, {_PAIRS_SQL} SELECT a, b, base FROM bases",
