@@ -13,7 +13,7 @@ from tidemark.llm.common import ensure_checkpoint_dir, read
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -230,4 +230,4 @@ def groups(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     kept = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")

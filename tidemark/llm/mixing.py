@@ -163,5 +163,6 @@ def _placed(timed: DataFrame, block: int) -> DataFrame:
 def ordered(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """All rows of docs with their columns, laid out in mixture order over the partitions."""
     ranks = mix(docs, weights).select(F.col("doc_id").alias("mixed_id"), "mix_rank").dropDuplicates(["mixed_id"])
-    joined = docs.join(ranks, F.col("doc_id") == F.col("mixed_id"))
-    return joined.repartitionByRange("mix_rank").sortWithinPartitions("mix_rank").select(*docs.columns)
+    joined = docs.join(ranks, docs["doc_id"] == ranks["mixed_id"])
+    rank = ranks["mix_rank"]
+    return joined.repartitionByRange(rank).sortWithinPartitions(rank).select(*[docs[c] for c in docs.columns])

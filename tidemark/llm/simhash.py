@@ -225,4 +225,4 @@ def near_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the least doc_id."""
     kept = near_groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")

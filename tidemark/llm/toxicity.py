@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     if sample.count() > 2 * (sample_toxic + sample_clean):
         raise ValueError("the sample is over its bound")
     # As many ids as the parameters allow, at every size of the corpus: texts stay where they are.
-    rows = cut(docs.join(F.broadcast(sample), F.col("doc_id") == F.col("mark_id")).select("toxic", text_or_empty().alias("text"), F.pmod(F.xxhash64("mark_id", F.lit(7)), F.lit(2)).alias("half")))
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("mark_id")).select("toxic", text_or_empty().alias("text"), F.pmod(F.xxhash64("mark_id", F.lit(7)), F.lit(2)).alias("half")))
     first = rows.where("half = 0")
     n = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     learned = _learn_words(first, n.get(1, 0), n.get(0, 0))
