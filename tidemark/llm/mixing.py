@@ -36,7 +36,7 @@ PERIOD = 1_000
 #: More sources than this are refused: the schedule is made on the driver.
 MAX_SOURCES = 20_000
 #: Rows that one hash range of a source holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def quotas(weights: dict, period: int) -> dict:
