@@ -56,3 +56,36 @@ def test_defined_cases(spark):
     twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, source string")
     assert sorted(r.mix_rank for r in mixing.mix(twice).collect()) == [0, 1, 2]
     assert mixing.ordered(twice).count() == 3
+
+
+def test_follows_the_given_weights_over_a_whole_run(spark):
+    """A third for one source and the rest for a hundred others: no multiple of a tenth of the slots is dealt out evenly."""
+    weights = {"hot": Fraction(1, 3)} | {f"s{i}": Fraction(2 * (i + 1), 3 * 5050) for i in range(100)}
+    sizes = {s: 2 * int(600 * w) + 2 for s, w in weights.items()}
+    rows = [(s, k) for s, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string")
+    got = sorted((r.mix_rank, r.slot, r.source, r.block) for r in mixing.mix(df, weights, block=2).collect())
+    assert [r[0] for r in got] == list(range(len(rows)))
+    assert [r[1] for r in got] == sorted(r[1] for r in got) and len({r[1] for r in got}) == len({r[2:] for r in got})
+    first = min(max(r[1] for r in got if r[2] == s) for s in sizes)  # the first exhaustion
+    slots = {r[1]: r[2] for r in got}
+    had = dict.fromkeys(sizes, 0)
+    for t in range(1, first + 2):
+        had[slots[t - 1]] += 1
+        assert all(abs(w * t - had[s]) < 1 for s, w in weights.items())
+    assert first > 500
+
+
+def test_run_schedule_goes_on_after_sources_ran_out():
+    weights = {"a": 0.9, "b": 0.05, None: 0.05, "z": 0}
+    n_blocks = {"a": 500, "b": 1, None: 90, "z": 2}
+    names, sources, blocks, slots = mixing.run_schedule(mixing.exact_quotas(weights), n_blocks)
+    assert slots == sorted(set(slots)) and [names[k] for k in sources[-2:]] == ["z", "z"]
+    for k, s in enumerate(names):
+        assert [b for x, b in zip(sources, blocks) if x == k] == list(range(n_blocks[s]))
+    assert all(abs(Fraction(0.9) / (Fraction(0.9) + 2 * Fraction(0.05)) * (t + 1) - b - 1) < 1 for k, b, t in zip(sources, blocks, slots) if names[k] == "a")
+
+
+def test_more_than_20_000_sources(spark):
+    df = spark.range(20_100).selectExpr("id doc_id", "concat('s', id) source")
+    assert sorted(r.mix_rank for r in mixing.mix(df).select("mix_rank").collect()) == list(range(20_100))

@@ -6,17 +6,19 @@ floor((i-1)/w) and due at ceil(i/w). Earliest deadline first over the released b
 block its slot, and after any number of slots t each source has had w*t blocks, less or more
 than one block off.
 
-Weights are quotas out of a number of slots (the period), so the schedule repeats: only one
-period is simulated, on the driver, and its size is a parameter. Documents find their block by
-ranks that no task has to compute for a whole source: local ranks within hash ranges, plus the
-sizes of the ranges before.
+Weights are exact rationals. Where all of them are whole numbers of slots out of a short period,
+the schedule repeats and one period is simulated. Otherwise the whole run is simulated, block by
+block: the driver holds one row for each block, a sixteenth of the documents' number. Documents
+find their block by ranks that no task has to compute for a whole source: local ranks within hash
+ranges, plus the sizes of the ranges before.
 
 A source that has run out leaves its slots empty, and the others close ranks; so all rows are
-kept, and up to the first exhaustion the deviation stays below one block.
+kept, and up to the first exhaustion the deviation stays below one block. In a whole run a slot
+left empty may go to a block that is released already.
 
 Defined cases: a null source is a source of its own; texts are not looked at; rows that repeat
 an id stand next to each other in the order; sources without a weight share the smallest given
-weight; an empty table gives an empty result; other columns are ignored.
+weight; a source of weight 0 stands after all others, and a negative weight is refused; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,22 +27,37 @@ import heapq
 import math
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
 BLOCK = 16
-#: Slots of one period, at least; it grows to ten for each source.
+#: Slots of a repeated period, at most, or ten for each source if that is more.
 PERIOD = 1_000
-#: More sources than this are refused: the schedule is made on the driver.
-MAX_SOURCES = 20_000
 #: Rows that one hash range of a source holds on average.
 RANGE_ROWS = 4_000
 
 
+def exact_quotas(weights: dict) -> dict:
+    """The least whole numbers in the exact proportion of the weights."""
+    if min(weights.values()) < 0 or not any(weights.values()):
+        raise ValueError("weights must not be negative, nor all 0")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*[w.denominator for w in exact.values()])
+    whole = {s: w.numerator * (scale // w.denominator) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: n // common for s, n in whole.items()}
+
+
 def quotas(weights: dict, period: int) -> dict:
-    """Whole numbers of slots, at least one for each source, that sum to the period (largest remainders first)."""
+    """Exact quotas, if they fit the period; else whole numbers of slots, at least one for each source, that sum
+    to the period (largest remainders first). mix() only takes exact ones."""
+    whole = exact_quotas(weights)
+    if all(whole.values()) and sum(whole.values()) <= period:
+        return whole
     total = sum(Fraction(w) for w in weights.values())
     spare = period - len(weights)
     exact = {s: Fraction(w) / total * spare for s, w in weights.items()}
@@ -72,6 +89,41 @@ def schedule(quota: dict) -> list:
     return slots
 
 
+def run_schedule(quota: dict, n_blocks: dict) -> tuple[list, list[int], list[int], list[int]]:
+    """(names, source, block, slot) of every block of the run, in the order of the slots; source is a place in names."""
+    names = sorted(quota, key=lambda s: (s is not None, s or ""))
+    period = sum(quota.values())
+    share, left = [quota[s] for s in names], [n_blocks[s] for s in names]
+    waiting = [(0, k, 1) for k in range(len(names)) if share[k] and left[k]]  # release, source, block
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []  # deadline, source, block
+    sources: list[int] = []
+    blocks: list[int] = []
+    slots: list[int] = []
+    now = 0
+    while waiting or ready:
+        if not ready and waiting[0][0] > now:
+            now = waiting[0][0]
+        while waiting and waiting[0][0] <= now:
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-i * period // share[k]), k, i))
+        due, k, i = heapq.heappop(ready)
+        if due < now + 1:
+            raise AssertionError("a block missed its deadline")
+        sources.append(k)
+        blocks.append(i - 1)
+        slots.append(now)
+        if i < left[k]:
+            heapq.heappush(waiting, (i * period // share[k], k, i + 1))
+        now += 1
+    for k in (k for k in range(len(names)) if not share[k]):
+        sources += [k] * left[k]
+        blocks += range(left[k])
+        slots += range(now, now + left[k])
+        now += left[k]
+    return names, sources, blocks, slots
+
+
 def target_weights(counts: dict, temperature: float = 0.5) -> dict:
     """Weights in proportion to a power of the sources' sizes: evens out large and small sources."""
     return {s: Fraction(round(n**temperature * 1000) or 1) for s, n in counts.items()}
@@ -90,25 +142,25 @@ def mix(
     spark = docs.sparkSession
     rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source")).withColumn("key", F.xxhash64("doc_id")))
     sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    found = {r["source"]: r["n"] for r in sizes.limit(MAX_SOURCES + 1).collect()}
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    found = {r["source"]: r["n"] for r in sizes.collect()}
     if not found:
         return rows.select("doc_id", "source", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("mix_rank"))
     given = weights or target_weights(found)
     least = min(given.values())
-    quota = quotas({s: given.get(s, least) for s in found}, max(period, 10 * len(found)))
+    wanted = {s: given.get(s, least) for s in found}
+    quota = exact_quotas(wanted)
+    ranked = _ranked(rows, "source", range_rows, sum(found.values()))
+    blocks = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
+    if not all(quota.values()) or sum(quota.values()) > max(period, 10 * len(found)):
+        return _run(blocks, quota, found, block)
     turns: dict = {}
     table = []
     for slot, source in enumerate(schedule(quota)):
         turns[source] = turns.get(source, -1) + 1
         table.append((source, turns[source], slot, quota[source]))
     length = len(table)
-    # At most max(period, 10 * MAX_SOURCES) rows, as checked above.
+    # At most max(period, ten for each source) rows, as checked above.
     slots = F.broadcast(spark.createDataFrame(table, "slot_source string, turn long, slot_in long, quota long"))
-
-    ranked = _ranked(rows, "source", range_rows, sum(found.values()))
-    blocks = ranked.withColumn("block", F.floor(F.col("rank") / block).cast("long"))
     # quota depends on the source alone and turn on quota, so quotas are joined first.
     per_source = F.broadcast(spark.createDataFrame([(s, q) for s, q in quota.items()], "quota_source string, per_period long"))
     timed = (
@@ -122,6 +174,22 @@ def mix(
     return placed.select("doc_id", "source", "block", "slot", "mix_rank")
 
 
+def _run(blocks: DataFrame, quota: dict, found: dict, block: int) -> DataFrame:
+    """What mix() returns, by a schedule of the whole run: sizes of blocks are known, so their first places are too."""
+    spark = blocks.sparkSession
+    names, sources, numbers, slots = run_schedule(quota, {s: -(-n // block) for s, n in found.items()})
+    source, number = np.array(sources, np.int64), np.array(numbers, np.int64)
+    sizes = np.minimum(block, np.array([found[s] for s in names], np.int64)[source] - number * block)
+    columns = {"of_k": source, "of_block": number, "slot": np.array(slots, np.int64), "start": np.cumsum(sizes) - sizes}
+    table = spark.createDataFrame(pa.table(columns))
+    # One row for each source; they are on the driver already.
+    k_of = F.broadcast(spark.createDataFrame(list(enumerate(names)), "k long, k_source string"))
+    numbered = blocks.join(k_of, F.col("source").eqNullSafe(F.col("k_source")))
+    timed = numbered.join(table, (F.col("k") == F.col("of_k")) & (F.col("block") == F.col("of_block")))
+    rank = F.col("start") + F.col("rank") - F.col("block") * block
+    return timed.select("doc_id", "source", "block", "slot", rank.cast("long").alias("mix_rank"))
+
+
 def _ranked(rows: DataFrame, group: str, range_rows: int, total: int) -> DataFrame:
     """Adds rank (from 0) within the group by (key, doc_id). A hot group is ranked range by range of its key."""
     ranges = max(1, math.ceil(total / range_rows))
