@@ -25,13 +25,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, laid out in the order of the mixture."""
+    """All rows, laid out in the order of the mixture. The columns stay, so encode() looks the places up again."""
     return mixing.ordered(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with the ids, number and score of the best segmentation, and whether decoding restores the text."""
-    return sentencepiece_nbest.encode(docs).select("doc_id", "ids", "n_pieces", "score", "restored")
+    """doc_id with the ids, number and score of the best segmentation, whether decoding restores the text, and
+    mix_rank, the document's place in the mixture (from 0)."""
+    encoded = sentencepiece_nbest.encode(docs).select("doc_id", "ids", "n_pieces", "score", "restored")
+    ranks = mixing.places(docs)
+    joined = encoded.join(ranks, encoded["doc_id"] == ranks["mixed_id"], "left")
+    return joined.select(*[encoded[c] for c in encoded.columns], ranks["mix_rank"])
 
 
 STAGES = [

@@ -50,3 +50,31 @@ def test_stages(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def simulated(docs, key, block=16):
+    """doc_id to its place in the mixture: slot by slot, the released block that is due first."""
+    by = {}
+    for d, s in docs:
+        by.setdefault(s, []).append(d)
+    for s in by:
+        by[s].sort(key=lambda d: (key[d], d))
+    weights = {s: round(len(by[s]) ** 0.5 * 1000) for s in by}
+    total, had, out, t = sum(weights.values()), dict.fromkeys(by, 0), [], 0
+    while len(out) < len(docs):
+        open_ = [s for s in sorted(by) if had[s] * block < len(by[s]) and had[s] * total // weights[s] <= t]
+        if open_:
+            s = min(open_, key=lambda s: -(-(had[s] + 1) * total // weights[s]))
+            out += by[s][had[s] * block : (had[s] + 1) * block]
+            had[s] += 1
+        t += 1
+    return {d: k for k, d in enumerate(out)}
+
+
+def test_the_mixture_is_in_the_result(spark, tmp_path):
+    docs = [(i, " ".join(f"q{i}_{k}" for k in range(12)), "en", "hot" if i % 4 else f"s{i % 3}", 0) for i in range(260)]
+    spark.createDataFrame(docs, SCHEMA).repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    key = {r.doc_id: r.k for r in spark.range(260).selectExpr("id doc_id", "xxhash64(id) k").collect()}
+    got = {r.doc_id: r.mix_rank for r in cp.run(spark, str(tmp_path)).collect()}
+    assert len(got) > 200 and sorted(got.values()) == list(range(len(got)))
+    assert got == simulated([(d[0], d[3]) for d in docs if d[0] in got], key)

@@ -228,9 +228,15 @@ def _placed(timed: DataFrame, block: int) -> DataFrame:
     )
 
 
+def places(docs: DataFrame, weights: dict | None = None) -> DataFrame:
+    """(mixed_id, mix_rank): one row for each id; rows that repeat an id share its first place."""
+    return mix(docs, weights).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.min("mix_rank").alias("mix_rank"))
+
+
 def ordered(docs: DataFrame, weights: dict | None = None) -> DataFrame:
-    """All rows of docs with their columns, laid out in mixture order over the partitions."""
-    ranks = mix(docs, weights).select(F.col("doc_id").alias("mixed_id"), "mix_rank").dropDuplicates(["mixed_id"])
+    """All rows of docs with their columns, laid out in mixture order over the partitions. Readers of files
+    need not keep it: the place itself is what places() gives, the same for the same rows."""
+    ranks = places(docs, weights)
     joined = docs.join(ranks, docs["doc_id"] == ranks["mixed_id"])
     rank = ranks["mix_rank"]
     return joined.repartitionByRange(rank).sortWithinPartitions(rank).select(*[docs[c] for c in docs.columns])
