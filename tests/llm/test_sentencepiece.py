@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import os
 
@@ -60,3 +61,15 @@ def test_rows(spark):
     assert back == {d: t or "" for d, t in rows}
     assert all(len(r.n_best) == len(r.scores) and r.scores == sorted(r.scores, reverse=True) for r in got)
     assert sp.encode(df.limit(0)).count() == 0
+
+
+def test_query_gives_all_n_best(spark, vocab, tmp_path):
+    from tidemark.llm import queries
+
+    rows = [(0, "the cat sat\n\n on ▁ 😀"), (1, None), (2, "aaaaaaa hello  you"), (3, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in queries.op3_sentencepiece(spark, str(tmp_path)).collect():
+        want = vocab.n_best_chain(dict(rows)[r.doc_id] or "")
+        assert r.scores == [s for s, _ in want] and r.n_best_pieces == [len(ids) for _, ids in want]
+        assert r.n_best_sha256 == [hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() for _, ids in want]
+        assert r.ids_sha256 == r.n_best_sha256[0] and r.n_pieces == r.n_best_pieces[0]

@@ -30,9 +30,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_nbest.encode(read(spark, sf_dir, "documents"))
-    digest = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
-    return encoded.select("doc_id", "n_pieces", "score", "scores", "restored", digest.alias("ids_sha256"))
+    """The best segmentation's figures, and of each of the n best its length and the digest of its ids, best first."""
+    encoded = sentencepiece_nbest.encode(read(spark, sf_dir, "documents"), digests=True)
+    return encoded.select("doc_id", "n_pieces", "score", "scores", "restored", F.col("n_best_sha256")[0].alias("ids_sha256"), "n_best_pieces", "n_best_sha256")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

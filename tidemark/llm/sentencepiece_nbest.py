@@ -273,29 +273,37 @@ def load(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
-ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, scores array<double>, n_best array<array<int>>, restored boolean"
+ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, scores array<double>, n_best array<array<int>>, restored boolean, n_best_pieces array<long>, n_best_sha256 array<string>"
 
 
-def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, alternatives: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, alternatives: bool = False, digests: bool = False) -> DataFrame:
     """One row per document: the best ids with their number and score, the n best scores, whether decoding
-    gives the text back; with alternatives also the ids of all n results."""
+    gives the text back; with alternatives also the ids of all n results. With digests, the number of ids of
+    each of the n results and the SHA-256 of its ids (as text, a space between) come instead of all ids."""
     model = load(docs, path)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value, n_best)
+        shown = [str(i) for i in range(max(*v.ids.values(), *v.bytes.values()) + 1)] if digests else []
         for batch in rows:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: list[list] = [[], [], [], [], [], []]
+                out: list[list] = [[] for _ in range(8)]
                 for text in part.column(1):
                     text = text.as_py()
                     links, got = v.chain_of(text)
                     ranked, ids = v.ranked_changes(links, got), v.ids_of(got)
-                    others = [v.ids_of(got, changes) for _, changes in ranked] if alternatives else None
-                    for column, value in zip(out, (ids, len(ids), ranked[0][0], [s for s, _ in ranked], others, v.decode(ids) == text)):
+                    others = [v.ids_of(got, changes) for _, changes in ranked] if alternatives or digests else None
+                    lengths = sums = None
+                    restored, n = v.decode(ids) == text, len(ids)
+                    if digests:
+                        lengths = [len(x) for x in others]
+                        sums = [hashlib.sha256(" ".join([shown[i] for i in x]).encode()).hexdigest() for x in others]
+                        ids, others = None, others if alternatives else None
+                    for column, value in zip(out, (ids, n, ranked[0][0], [s for s, _ in ranked], others, restored, lengths, sums)):
                         column.append(value)
-                kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "ids", "n_pieces", "score", "scores", "n_best", "restored"])
+                kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "ids", "n_pieces", "score", "scores", "n_best", "restored", "n_best_pieces", "n_best_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(batches, ENCODED)
