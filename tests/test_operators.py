@@ -167,3 +167,13 @@ def test_vector_index(spark):
         vectors.search(cells, c, None, [1.0], 3)
     batch = vectors.exact_batch(df, spark.createDataFrame([("q", [float(x) for x in v[3]])], "query string, vector array<double>"), 4)
     assert [r.key for r in batch.orderBy("rank").collect()] == [r.key for r in vectors.exact(df, [float(x) for x in v[3]], 4).orderBy("rank").collect()]
+
+
+def test_open_ended_claims_contradict_too(spark, monkeypatch):
+    from tidemark.plans import belief
+
+    rows = [(1, "x", 0, None), (2, "y", 10, 20), (3, "x", 15, None), (4, "y", 30, 40), (5, "z", None, 5), (6, None, 0, None)]
+    claims = spark.createDataFrame([("s", "p", e, o, a, b) for e, o, a, b in rows], "subject string, predicate string, event_id long, object string, valid_start long, valid_end long")
+    monkeypatch.setattr(belief.A, "claims", lambda spark, sf_dir: claims)
+    got = {r.event_id: (r.n_contradictions, r.next_contradiction) for r in belief.open_overlap_contradictions(spark, "").collect()}
+    assert got == {1: (3, 2), 2: (2, 3), 3: (2, 4), 4: (2, -1), 5: (1, 1)}

@@ -12,6 +12,8 @@ from tidemark.sources import adapters as A
 #: 2024-01-15 00:00 UTC, inside the events.
 NOW = 1_705_276_800_000
 WEEK = 7 * A.DAY_MS
+#: Beyond all times: an unknown bound.
+FAR = 1 << 62
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def interval_overlap_contradictions(spark, sf_dir):
 
     Each claim is laid over spans of ten days; the later of a pair starts within one span of the
     earlier, so an equality join on (key, span) finds every pair once. Claims without an end would
-    overlap all later ones of their key; those are versions (see superseded_versions), not listed in pairs.
+    overlap all later ones of their key; those are counted by claim in open_overlap_contradictions, not listed in pairs.
     """
     c = A.claims(spark, sf_dir).where(F.col("valid_end").isNotNull()).select("subject", "predicate", "event_id", "object", "valid_start", "valid_end")
     left = c.select("subject", "predicate", F.explode(F.sequence(F.floor(F.col("valid_start") / (10 * A.DAY_MS)), F.floor((F.col("valid_end") - 1) / (10 * A.DAY_MS)))).alias("span"), F.col("event_id").alias("a"), F.col("object").alias("object_a"), F.col("valid_start").alias("start_a"), F.col("valid_end").alias("end_a"))
@@ -45,6 +47,33 @@ def interval_overlap_contradictions(spark, sf_dir):
     return left.join(right, ["subject", "predicate", "span"]).where(first & X.overlaps(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b")) & (F.col("object_a") != F.col("object_b"))).select("subject", "predicate", "a", "b")
 
 
+def _overlapping(points, keys):
+    """event_id and how many claims of its keys start before its end, less those that end by its start; itself among them."""
+    w = Window.partitionBy(*keys).orderBy("at")
+    begun = F.count(F.when(F.col("opens"), 1)).over(w.rangeBetween(Window.unboundedPreceding, -1))
+    over = F.count(F.when(~F.col("opens"), 1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return points.select("event_id", F.when(F.col("opens"), -over).otherwise(begun).alias("n"))
+
+
+def open_overlap_contradictions(spark, sf_dir):
+    """For every claim, open-ended ones too, the number of claims of its key whose validity overlaps its own and whose
+    object is another, and the first such claim after it (by start and id; -1 for none).
+
+    An unknown bound overlaps everything. Pairs would grow with the square of a key's claims; counts come from sorted
+    starts and ends instead: those of the key, less those of the key with the same object.
+    """
+    c = A.claims(spark, sf_dir).where(F.col("object").isNotNull()).select("subject", "predicate", "event_id", "object", F.coalesce("valid_start", F.lit(-FAR)).alias("lo"), F.coalesce("valid_end", F.lit(FAR)).alias("hi"))
+    points = c.select("subject", "predicate", "object", "event_id", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(True).alias("opens")), F.struct(F.col("hi").alias("at"), F.lit(False).alias("opens")))).alias("p")).select("*", "p.*")
+    n = _overlapping(points, ["subject", "predicate"]).unionByName(_overlapping(points, ["subject", "predicate", "object"]).withColumn("n", -F.col("n")))
+    counts = n.groupBy(F.col("event_id").alias("of_event")).agg(F.sum("n").alias("n_contradictions"))
+    # From the last claim back: the next one with another object is the neighbour's, or what stood after the neighbour.
+    back = Window.partitionBy("subject", "predicate").orderBy(F.desc("lo"), F.desc("event_id"))
+    after = F.when(F.lag("object").over(back) != F.col("object"), F.struct(F.lag("event_id").over(back).alias("id"), F.lag("lo").over(back).alias("lo")))
+    following = c.withColumn("after", after).withColumn("after", F.last("after", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    met = F.when(F.col("after.lo") < F.col("hi"), F.col("after.id"))
+    return following.join(counts, following["event_id"] == counts["of_event"]).select("event_id", "subject", "predicate", "n_contradictions", F.coalesce(met, F.lit(-1)).cast("long").alias("next_contradiction"))
+
+
 def claim_history_close(spark, sf_dir):
     return _history(spark, sf_dir).select("event_id", "subject", "predicate", "seq", "known_start", "known_end", "version_status")
 
@@ -138,7 +167,7 @@ def read_windows(spark, sf_dir):
     return e.groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap_contradictions, claim_history_close, asof_single, asof_batch, late_arrival_split, superseded_versions, action_eligibility, ineligibility_reasons, confidence_combine, provenance_rank_winner, history_lookup, next_sequence, interval_builders, ids_and_displays, record_projections, read_windows)}
+QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap_contradictions, open_overlap_contradictions, claim_history_close, asof_single, asof_batch, late_arrival_split, superseded_versions, action_eligibility, ineligibility_reasons, confidence_combine, provenance_rank_winner, history_lookup, next_sequence, interval_builders, ids_and_displays, record_projections, read_windows)}
 
 _ASOF = "(valid_start IS NULL OR {v} >= valid_start) AND (valid_end IS NULL OR {v} < valid_end) AND (known_start IS NULL OR {k} >= known_start) AND (known_end IS NULL OR {k} < known_end)"
 _METHOD = "CASE {0} WHEN 5 THEN 'Direct' WHEN 4 THEN 'Human' WHEN 3 THEN 'Rule' WHEN 2 THEN 'Statistical' WHEN 1 THEN 'Imported' ELSE 'LanguageModel' END"
@@ -146,6 +175,11 @@ _FRAMED = "length({0}) || '|' || {0}"
 
 SQL = {
     "interval_contains": f"WITH {A.CLAIMS_SQL} SELECT event_id, subject, predicate, valid_start, valid_end FROM claims WHERE {NOW} >= valid_start AND (valid_end IS NULL OR {NOW} < valid_end)",
+    "open_overlap_contradictions": f"""WITH {A.CLAIMS_SQL}, c AS (SELECT *, coalesce(valid_start, -{1 << 62}) AS lo, coalesce(valid_end, {1 << 62}) AS hi FROM claims WHERE object IS NOT NULL)
+      SELECT x.event_id, x.subject, x.predicate, count(y.event_id) AS n_contradictions,
+        coalesce(arg_min(y.event_id, (y.lo, y.event_id)) FILTER ((y.lo, y.event_id) > (x.lo, x.event_id)), -1) AS next_contradiction
+      FROM c x LEFT JOIN c y ON x.subject = y.subject AND x.predicate = y.predicate AND x.object <> y.object AND x.lo < y.hi AND y.lo < x.hi
+      GROUP BY ALL""",
     "interval_overlap_contradictions": f"""WITH {A.CLAIMS_SQL}, c AS (SELECT * FROM claims WHERE valid_end IS NOT NULL)
       SELECT x.subject, x.predicate, x.event_id AS a, y.event_id AS b FROM c x JOIN c y ON x.subject = y.subject AND x.predicate = y.predicate
       AND (x.valid_start < y.valid_start OR (x.valid_start = y.valid_start AND x.event_id < y.event_id))
