@@ -177,3 +177,22 @@ def test_open_ended_claims_contradict_too(spark, monkeypatch):
     monkeypatch.setattr(belief.A, "claims", lambda spark, sf_dir: claims)
     got = {r.event_id: (r.n_contradictions, r.next_contradiction) for r in belief.open_overlap_contradictions(spark, "").collect()}
     assert got == {1: (3, 2), 2: (2, 3), 3: (2, 4), 4: (2, -1), 5: (1, 1)}
+
+
+def test_search_as_registered_finds_nine_of_ten(spark):
+    from tidemark.plans import recollection
+
+    for sf in ("sf0.001", "sf0.1"):
+        assert recollection.ann_recall(spark, f"/root/testdata/{sf}").first().recall >= 0.9
+
+
+def test_exact_batch_goes_by_blocks(spark):
+    e = spark.createDataFrame([(f"k{i}", [float(i % 7 - 3), float(i % 5 + 1), 1.0]) for i in range(40)], "key string, embedding array<float>")
+    q = e.selectExpr("key query", "embedding vector")
+    rows = lambda df: sorted((r.query, r.key, r.similarity, r["rank"]) for r in df.collect())
+    assert rows(vectors.exact_batch(e, q, 3, max_queries=7)) == rows(vectors.exact_batch(e, q, 3))
+    c = vectors.centroids(e)
+    cells = vectors.assign(e, c)
+    one = [(r.key, r.similarity) for r in vectors.search(cells, c, None, [1.0, 2.0, 1.0], 3, probes=2).collect()]
+    many = vectors.search_batch(cells, c, None, spark.createDataFrame([("q", [1.0, 2.0, 1.0])], "query string, vector array<float>"), 3, probes=2).collect()
+    assert [(r.key, r.similarity) for r in sorted(many, key=lambda r: r["rank"])] == one

@@ -98,10 +98,14 @@ def ann_ivf_search(spark, sf_dir):
 
 
 def ann_recall(spark, sf_dir):
-    """Recall@10 of the inverted file for the query vector, against the exact search."""
-    k = _keyed(spark, sf_dir)
+    """Recall@10 of the inverted file as ann_ivf_search uses it, its own probes and buffer, over every 50th vector,
+    against the exact search over the same rows."""
+    k, buffer = _keyed(spark, sf_dir), _buffer(spark, sf_dir)
     c = vectors.centroids(k)
-    return vectors.recall(vectors.search(vectors.assign(k, c), c, None, VECTOR, 10, probes=max(1, len(c) // 2)), vectors.exact(k, VECTOR, 10))
+    cells = vectors.assign(k, c)
+    queries = k.where(F.col("vec_id") % 50 == 0).select(F.col("key").alias("query"), F.col("embedding").alias("vector"))
+    found = vectors.search_batch(cells, c, buffer, queries, 10)
+    return vectors.recall(found, vectors.exact_batch(vectors.union_buffer(cells, buffer), queries, 10))
 
 
 def index_snapshot(spark, sf_dir):
