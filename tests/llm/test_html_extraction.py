@@ -52,3 +52,15 @@ def test_pages(spark):
 def test_very_long_page():
     body = "".join(f"<p>word {i}</p>" for i in range(30_000))
     assert hx.extract(FRAME % f"<article>{body}</article>").count("\n") == 29_999
+
+
+def test_literals_are_counted_over_all_pages_and_whole_texts(spark):
+    """A late notice on a third of a host's pages, and a line in most articles; near copies keep their text."""
+    long = "<p>" + "word " * 15_000 + "%d</p>"
+    rows = [(i, "http://a.org/x", "<body>" + long % i + ("<div>Late notice</div>" if i % 3 == 0 else "") + "</body>") for i in range(30)]
+    rows += [(100 + i, "http://b.org/x", FRAME % f"<article><p>{f'own text {i} ' * 9}</p><p>Read more on b</p></article>") for i in range(30)]
+    rows += [(200 + i, "http://c.org/x", FRAME % f"<article><p>the same long story in full</p><p>{i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 65 and not any("Late notice" in t or "Read more" in t for t in got.values())
+    assert all(got[i].endswith(f" {i}") for i in range(30)) and all(got[100 + i].startswith(f"own text {i} ") for i in range(30))
+    assert all(got[200 + i] == f"the same long story in full\n{i}" for i in range(5))

@@ -15,7 +15,10 @@ has. Pages that the wrapper was not learned from, hosts of one page, and broken
 same path: then a wrapper has few literals, and the roles decide.
 
 The wrapper is fitted to a bounded sample of a host's pages (SAMPLE_PAGES, by page hash, at most
-SAMPLE_CHARS each); every page is extracted whole.
+SAMPLE_CHARS each). Beside it, blocks of text that pages of a host share at one path are counted
+over all its pages, whole and with copies of a page counted once, and left out: outside the
+article from a tenth of the pages (two at least), inside from half of them (three at least),
+unless that took half of the article or all of the page, as in pages that are near copies.
 
 Defined cases: a null html counts as empty and gives an empty text; a null url has the host "";
 tags that never close end with their parent; equal rows give equal results; an empty table gives
@@ -24,6 +27,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -378,12 +382,17 @@ def summary(wrapper: list, n_pages: int) -> dict:
 # ---- extraction --------------------------------------------------------------------------------
 
 
-def extract(page: str, wrapper: dict | None = None) -> str:
-    """Main text of one page: its blocks, one on each line."""
+def block_key(path: str, block: str, inside: bool) -> int:
+    """A long for a block at a path; its last bit is set inside the article."""
+    digest = hashlib.blake2b(f"{path}\0{block}".encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True) & ~1 | inside
+
+
+def blocks_of(page: str) -> list[tuple[str, bool, str]]:
+    """(block, whether inside the article, path) of the texts of a page that roles don't leave out."""
     stream = tokens(page)
     names = {name for kind, name, _ in stream if kind == "open"}
-    root = next((r for r in dict.fromkeys([(wrapper or {}).get("root", "article"), "article", "main"]) if r in names and r != "body"), None)
-    literals = frozenset((wrapper or {}).get("literals", ()))
+    rooted = "article" in names or "main" in names
     walk, blocks, words = Walk(), [], []
 
     def flush() -> None:
@@ -391,12 +400,12 @@ def extract(page: str, wrapper: dict | None = None) -> str:
             block = _SPACE.sub(" ", "".join(words)).strip()
             words.clear()
             if block:
-                blocks.append((block, block in literals and not inside))
+                blocks.append((block, inside, "/".join([x[0] for x in walk.stack])))
 
     inside = False
     for kind, name, value in stream:
         if kind == "text":
-            if not walk.frame and (root is None or walk.article):
+            if not walk.frame and (not rooted or walk.article):
                 words.append(html.unescape(value))
             continue
         if name in BLOCKS:
@@ -406,7 +415,20 @@ def extract(page: str, wrapper: dict | None = None) -> str:
         walk.step(kind, name, value)
         inside = walk.article
     flush()
-    return "\n".join(block for block, shared in blocks if not shared)
+    return blocks
+
+
+def extract(page: str, wrapper: dict | None = None, shared: frozenset = frozenset()) -> str:
+    """Main text of one page: its blocks, one on each line. shared: block_key() of what the host's pages share."""
+    literals = frozenset((wrapper or {}).get("literals", ()))
+    blocks = [x for x in blocks_of(page) if x[1] or x[0] not in literals]
+    if shared:
+        own = [x for x in blocks if block_key(x[2], x[0], x[1]) not in shared]
+        inside, left = (sum(len(x[0]) for x in some if x[1]) for some in (blocks, own))
+        if 2 * left <= inside:
+            own = [x for x in blocks if x[1] or x in own]
+        blocks = own or blocks
+    return "\n".join(x[0] for x in blocks)
 
 
 def _host(url: str | None) -> str:
@@ -431,19 +453,51 @@ def wrappers(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     return sample.groupBy("host").applyInPandas(_infer_group, "wrapper_host string, wrapper string")
 
 
+def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hosts, keys, copies = [], [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            text = page.as_py() or ""
+            copy = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            found = {block_key(path, block, inside) for block, inside, path in blocks_of(text)}
+            hosts += [host] * (len(found) + 1)
+            keys += [None, *found]  # null: the page itself
+            copies += [copy] * (len(found) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64()), pa.array(copies, pa.int64())], names=["h", "key", "copy"])
+
+
+def shared_blocks(pages: DataFrame) -> DataFrame:
+    """(shared_host: the host's hash, shared: keys of blocks) from all pages. A host has at most ten times as many
+    as its pages have blocks on average, or half of all blocks where it has few pages."""
+    keys = pages.select(F.xxhash64("host").alias("h"), "html").mapInArrow(_key_batches, "h long, key long, copy long")
+    counted = keys.distinct().groupBy("h", "key").agg(F.count(F.lit(1)).alias("n"))
+    # One row for each shared block and host, of any number of pages.
+    frequent = counted.where((F.col("n") > 1) | F.col("key").isNull())
+    totals = frequent.where(F.col("key").isNull()).select(F.col("h").alias("of_h"), F.col("n").alias("pages"))
+    both = frequent.where(F.col("key").isNotNull()).join(totals, F.col("h") == F.col("of_h"))
+    inside = F.col("key").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(inside, (F.col("n") >= 3) & (2 * F.col("n") >= F.col("pages"))).otherwise(10 * F.col("n") >= F.col("pages"))
+    return both.where(enough).groupBy(F.col("h").alias("shared_host")).agg(F.sort_array(F.collect_list("key")).alias("shared"))
+
+
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, dict] = {}
+    sets: dict[int, frozenset] = {}
     for batch in batches:
         texts = []
-        for page, wrapper in zip(batch.column(2), batch.column(3).to_pylist()):
+        for page, wrapper, host, shared in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+            if shared.is_valid and host not in sets:
+                if len(sets) > 10_000:
+                    sets.clear()
+                sets[host] = frozenset(shared.as_py())
             if wrapper is not None and wrapper not in known:
                 if len(known) > 10_000:
                     known.clear()
                 known[wrapper] = json.loads(wrapper)
-            texts.append(extract(page.as_py() or "", known.get(wrapper)))
+            texts.append(extract(page.as_py() or "", known.get(wrapper), sets[host] if shared.is_valid else frozenset()))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
@@ -454,5 +508,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url"), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), host.alias("host"))
-    joined = rows.join(wrappers(rows), F.col("host") == F.col("wrapper_host"), "left")
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract_batches, EXTRACTED)
+    learned = wrappers(rows)
+    learned = learned.join(shared_blocks(rows), F.xxhash64("wrapper_host") == F.col("shared_host"), "left")
+    joined = rows.join(learned, F.col("host") == F.col("wrapper_host"), "left")
+    return joined.select("page_id", "url", "html", "wrapper", "shared_host", "shared").mapInArrow(_extract_batches, EXTRACTED)
