@@ -10,8 +10,8 @@ and repeated groups.
 A page of the host is then read by its wrapper: a text under a role of the page's frame (menus,
 headers outside the article, footers, sidebars, notices, adverts, forms, comments, scripts,
 styles) is left out, and so is a literal text that the host's pages share outside the article.
-What is left is the main text, by the innermost of article, main, or body that the host's wrapper
-has. Pages that the wrapper was not learned from, hosts of one page, and broken pages take the
+What is left is the main text, of article or main, or of the body where a page has neither. Role
+rules and counts have replaced the wrapper there: its slots, groups and root don't decide anything. Pages that the wrapper was not learned from, hosts of one page, and broken pages take the
 same path: then a wrapper has few literals, and the roles decide.
 
 The wrapper is fitted to a bounded sample of a host's pages (SAMPLE_PAGES, by page hash, at most
