@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 
 from tidemark.llm import html_extraction as hx
@@ -24,26 +27,123 @@ def test_extract(page, text):
     assert hx.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p style="overflow:hidden">visible</p></article>', "visible"),
+        ('<article><p aria-hidden="false">visible</p></article>', "visible"),
+        ('<article><h2 class="related-work">Work</h2></article>', "Work"),
+        ('<article><p class="share-price">5.20</p></article>', "5.20"),
+        ('<article><p class="reply-letter">Dear</p></article>', "Dear"),
+        ('<div class="comments-off"><article>in</article></div>', "in"),
+        ('<article>a<div class="comments-area">c</div><p style="color:red; DISPLAY : none">h</p><p aria-hidden=true>h</p><p hidden>h</p></article>', "a"),
+        ('<div class="site-header">Site</div><div class="post-header">Title</div><p data-class="ad" title="hidden ad">x</p>', "Title\nx"),
+        ('<article><ol class="commentlist"><li>x</ol><div id="comments"><article>rude</article></div></article>', "x"),
+    ],
+)
+def test_roles_are_exact(page, text):
+    assert hx.extract(page) == text
+
+
+def test_nesting_takes_linear_time():
+    deep = "<p>top</p>" + "<span><div>" * 20_000 + "<p>low</p>"
+    assert hx.extract(deep) == "top\nlow"
+
+
 def test_wrapper_finds_slots_optionals_and_repeats():
     page = lambda title, items, extra="": f"<body><h1>{title}</h1><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>{extra}<p>Same words</p></body>"
     w = hx.infer([page("One", "ab"), page("Two", "abcd"), page("Three", "x", "<div>Note</div>")])
-    kinds = [n[0] for n in w]
-    assert "slot" in kinds and "many" in kinds and "maybe" in kinds
-    assert "Same words" in hx.summary(w, 3)["literals"]
+    assert w.expression() == "<html><h1>#</h1><ul><li>#+</li>+</ul><div>'Note'</div>?<p>'Same words'</p></html>"
+    faq = lambda n, last="": "<div>Menu</div><dl>" + "".join(f"<dt>q{n}{k}</dt><dd>a{n}{k}</dd>" for k in range(n)) + "</dl>" + last
+    w = hx.infer([faq(3), faq(1), faq(2, "<p>end</p>")])
+    assert w.expression() == "<html><div>'Menu'</div><dl>(<dt>#+</dt><dd>#+</dd>)+</dl><p>'end'</p>?</html>"
+    assert hx.Node.of(w.plain()).expression() == w.expression()
+
+
+def test_expressions_stay_small():
+    rng = random.Random(4)
+    kinds = ["p", "ul", "table", "h2", "blockquote", "div", "pre"]
+    w = hx.infer(["<article>" + "".join(f"<{k}>{rng.random()}</{k}>" for k in rng.choices(kinds, k=60)) + "</article>" for _ in range(200)])
+    assert len(str(w.plain())) < 2_000 and "(?)" in str(w.plain())
 
 
 def test_shared_boilerplate_outside_an_article_goes():
     page = lambda body: f"<body><div>Welcome to our site</div><div><p>{body}</p></div><div>All rights reserved</div></body>"
-    w = hx.summary(hx.infer([page("first text"), page("second text")]), 2)
-    assert hx.extract(page("third text"), w) == "third text"
+    w = hx.infer([page("first text"), page("second text")])
+    assert hx.extract(page("third text"), w) == "third text" and hx.extract(page("third text")).startswith("Welcome")
+
+
+def test_a_label_that_all_articles_share_goes():
+    page = lambda i: FRAME % f'<article><div><span>Report</span></div><h1>Title {i}</h1><p>{f"own text {i} " * 3}</p></article>'
+    w = hx.infer([page(i) for i in range(4)])
+    assert hx.extract(page(9), w) == f"Title 9\n{('own text 9 ' * 3).strip()}" and hx.extract(page(9)).startswith("Report")
+
+
+def generated(rng, host, n_pages):
+    """Pages of one template, each with its content: blocks that vary, between literals, menus and frame by role."""
+    rooted, menu, notice = rng.random() < 0.5, rng.random() < 0.7, rng.random() < 0.5
+    order = rng.sample(["paragraphs", "faq", "table", "list", "quote"], 3)
+    serial = iter(range(1 << 30))
+    line = lambda: " ".join(rng.choice("stone river cloud amber field silent".split()) for _ in range(rng.randint(2, 9))) + f" {host}{next(serial)}"
+    for _ in range(n_pages):
+        own, body = [], []
+
+        def say(tag):
+            own.append(line())
+            return f"<{tag}>{own[-1]}</{tag}>"
+
+        body.append(say("h1"))
+        for kind in order:
+            for _ in range(rng.randint(0, 3)):
+                if kind == "paragraphs":
+                    body.append(say("p") + say("p"))
+                elif kind == "faq":
+                    body.append("<section>" + say("h2") + say("p") + "</section>")
+                elif kind == "table":
+                    body.append("<table>" + "".join("<tr>" + say("td") + say("td") + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>")
+                elif kind == "list":
+                    body.append("<ul>" + "".join(say("li") for _ in range(rng.randint(1, 4))) + "</ul>")
+                else:
+                    body.append(say("blockquote"))
+        page = "<body>"
+        if menu:
+            page += "<div>" + "".join(f'<div><a href="/{x}">{x} {line()}</a></div>' for x in "abc") + "</div>" if not rooted else "<nav><a>x</a></nav>"
+        page += f"<div>Welcome to {host}</div>"
+        page += ("<article>%s</article>" if rooted else "<div>%s</div>") % "".join(body)
+        if notice and rng.random() < 0.6:
+            page += f"<div>{host} is closed on Monday</div>"
+        page += '<div class="site-footer"><p>all rights</p></div></body>'
+        yield page, "\n".join(own)
+
+
+def test_generated_hosts(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for h in range(24):
+        for page, text in generated(rng, f"h{h}", 12):
+            want[len(rows)] = text
+            rows.append((len(rows), f"https://h{h}.example.org/{len(rows)}", page))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: r.text for r in hx.main_text(pages).collect()}
+    assert got == want
+    assert {r.page_id: r.text for r in hx.main_text(pages, broadcast_bytes=0).collect()} == want
+    assert sum(hx.extract(r[2]) != want[r[0]] for r in rows) > 100  # what roles alone would get wrong
+
+
+def test_expressions_fold_in_rounds(spark):
+    rows = [(1, k, json.dumps(hx.infer([f"<body><div>Menu</div><p>text {k}</p></body>"]).plain())) for k in range(30)]
+    learned = spark.createDataFrame(rows, "h long, part long, wrapper string")
+    (row,) = hx.wrappers(learned, fan_in=3).collect()
+    assert hx.Node.of(json.loads(row.wrapper)).expression() == "<html><div>'Menu'</div><p>#</p></html>"
 
 
 def test_pages(spark):
     rows = [(i, f"http://h{i % 2}.example.org/{i}", FRAME % f"<article><p>text {i}</p></article>", "x") for i in range(20)]
-    rows += [(20, None, None, None), (21, "no host", "<p>alone</p>", None), (21, "no host", "<p>alone</p>", None)]
+    rows += [(20, None, None, None), (21, "no host", "<p>alone</p>", None), (21, "no host", "<p>alone</p>", None), (0, "http://h0.example.org/0", FRAME % "<article><p>other</p></article>", "x")]
     got = hx.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
     assert len(got) == len(rows)
-    by = {r.page_id: r for r in got}
+    assert sorted(r.text for r in got if r.page_id == 0) == ["other", "text 0"]
+    by = {r.page_id: r for r in got if r.text != "other"}
     assert all(by[i].text == f"text {i}" and by[i].n_chars == len(by[i].text) for i in range(20))
     assert by[20].text == "" and by[21].text == "alone"
     assert hx.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
