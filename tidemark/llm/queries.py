@@ -118,7 +118,7 @@ WITH d AS (
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
   FROM documents),
 lines AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 grams AS (
@@ -133,15 +133,20 @@ f AS (
   SELECT d.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM b GROUP BY source),
+failures AS (
+  SELECT source, unnest([
+    {rule: 'few', failed: n_words < 10}, {rule: 'repeats', failed: 100 * n_repeat_words > 20 * n_words}, {rule: 'symbols', failed: 10 * n_symbols > n_words},
+    {rule: 'lines', failed: 10 * n_dup_lines > 3 * n_lines}, {rule: 'letters', failed: 2 * word_chars < 3 * n_words}], recursive := true) FROM b),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS k FROM failures GROUP BY ALL),
+moments AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS raw, avg(1 / n) AS w FROM h GROUP BY rule),
 p AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1e-6) ELSE 1.0 END AS s
-  FROM (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h)),
-bad AS (SELECT source FROM h, p WHERE (k + m * s) / (n + s) > 0.9)
+  SELECT rule, m, CASE WHEN v > 0 THEN greatest(m * (1 - m) / v - 1, 1e-6) ELSE 1e6 END AS s, greatest(0.5, least(m + 1.645 * sqrt(v), 0.9)) AS top
+  FROM (SELECT rule, m, CASE WHEN w < 1 THEN greatest((raw - m * (1 - m) * w) / (1 - w), 0) ELSE 0 END AS v FROM moments)),
+bad AS (SELECT DISTINCT source FROM h JOIN p USING (rule) WHERE (k + m * s) / (n + s) > top)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        bad.hit IS NOT NULL AS host_refused, NOT base_failed AND bad.hit IS NULL AS kept
 FROM b LEFT JOIN (SELECT source AS host, true AS hit FROM bad) AS bad ON b.source IS NOT DISTINCT FROM bad.host
