@@ -196,3 +196,72 @@ def test_exact_batch_goes_by_blocks(spark):
     one = [(r.key, r.similarity) for r in vectors.search(cells, c, None, [1.0, 2.0, 1.0], 3, probes=2).collect()]
     many = vectors.search_batch(cells, c, None, spark.createDataFrame([("q", [1.0, 2.0, 1.0])], "query string, vector array<float>"), 3, probes=2).collect()
     assert [(r.key, r.similarity) for r in sorted(many, key=lambda r: r["rank"])] == one
+
+
+def test_a_walk_that_is_cut_says_so(spark):
+    nodes = spark.createDataFrame([("main", f"n{i}", [f"n{i - 1}"] if i else [], ["web:S"] if not i else []) for i in range(8)], "branch string, node_id string, parents array<string>, sources array<string>")
+    found = nodes.select("branch", "node_id")
+    whole = {r.node_id: r.via for r in graph.derived_via(nodes, found, "web:S").collect()}
+    assert whole["n7"] == [f"n{i}" for i in range(7, -1, -1)]
+    short = {r.node_id: r.via for r in graph.derived_via(nodes, found, "web:S", max_depth=4).collect()}
+    assert short["n7"][-1] == graph.CUT and short["n2"] == ["n2", "n1", "n0"] and len(short) == 8
+
+
+def test_reachable_over_lines_and_nested_merges(spark):
+    rng = np.random.default_rng(3)
+    edges = [(f"c{i:03d}", f"c{i - 1:03d}") for i in range(1, 120)]
+    edges += [(f"c{int(a):03d}", f"c{int(b):03d}") for a, b in rng.integers(0, 120, (25, 2)) if a > b]
+    edges += [(f"s{k}.{i}", f"s{k}.{i - 1}") for k in range(4) for i in range(1, 9)] + [("c100", "s0.8"), ("s0.4", "s1.8"), ("s1.2", "s2.5")]
+    commits = spark.createDataFrame(edges, "commit string, parent string")
+    for heads in (["c119"], ["c050", "s3.3"], []):
+        want, todo = set(), list(heads)
+        while todo:
+            c = todo.pop()
+            if c not in want:
+                want.add(c)
+                todo += [b for a, b in edges if a == c]
+        got = [r.commit for r in graph.reachable(commits, spark.createDataFrame([(h,) for h in heads], "commit string")).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_merge_bases_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    edges = sorted({(f"n{a}", f"n{b}") for a in range(1, 30) for b in rng.integers(0, a, 2)})
+    up = {f"n{a}": {f"n{a}"} for a in range(30)}
+    for a in range(30):
+        for x, y in edges:
+            if x == f"n{a}":
+                up[x] |= up[y]
+    pairs = [("n29", "n28"), ("n20", "n25"), ("n7", "n29"), ("n11", "n12")]
+    want = {(a, b, c) for a, b in pairs for c in up[a] & up[b] if not any(c in up[d] and c != d for d in up[a] & up[b])}
+    got = graph.merge_bases(spark.createDataFrame(edges, "commit string, parent string"), spark.createDataFrame(pairs, "a string, b string"))
+    assert {(r.a, r.b, r.base) for r in got.collect()} == want
+
+
+def test_every_connector_counts(spark):
+    asked = spark.createDataFrame([(k, k, f"k{k}", f"t.{k}", "u", "c/u", 0, False, 0, True, "t1", None) for k in (0, 10_500)], "event_id long, arrived long, idempotency_key string, action_type string, target string, evidence_key string, label int, simulation boolean, outcome int, has_evidence boolean, tenant string, compensating_action string")
+    connectors = spark.range(11_000).select(F.concat(F.lit("t."), F.col("id")).alias("action_type"), F.lit(False).alias("simulated"))
+    rules = spark.createDataFrame([(None, None, None, None, "Allow")], "r_actor string, r_label int, r_purpose string, r_action string, effect string")
+    assert {r.status for r in actions.decide(asked, rules, [], connectors).collect()} == {"Succeeded"}
+
+
+def test_queries_without_a_usable_vector_are_refused(spark):
+    e = spark.createDataFrame([("a", [1.0, 0.0])], "key string, embedding array<float>")
+    for bad in ([("p", [1.0, 0.0]), ("q", [1.0, 0.0, 0.0])], [("p", [1.0, 0.0]), ("q", None)], [("p", [])]):
+        with pytest.raises(ValueError):
+            vectors.exact_batch(e, spark.createDataFrame(bad, "query string, vector array<float>"), 3)
+
+
+def test_a_report_tells_how_much_it_shows(spark):
+    nodes = spark.createDataFrame([("main", f"n{i}", f"k{i}", "web", [], ["web:S"]) for i in range(7)], "branch string, node_id string, key string, actor string, parents array<string>, sources array<string>")
+    done = spark.createDataFrame([("k0", "a.b", "u", "act-1", None)], "evidence_key string, action_type string, target string, action_id string, compensating_action string")
+    plan = recall.plan(nodes, done, "web:S")
+    assert recall.totals(plan) == {"irreversible": 1, "reversible": 7} and "REVERSIBLE (3 of 7 shown)" in recall.render(plan, limit=3)
+
+
+def test_plan_order(spark):
+    nodes = spark.createDataFrame([(b, f"n{i}", f"k{i}", "web", [], ["web:S"]) for b in ("main", "h1") for i in (2, 1)], "branch string, node_id string, key string, actor string, parents array<string>, sources array<string>")
+    done = spark.createDataFrame([("k1", t, u, a, None) for t, u, a in (("z", "u", "1"), ("a", "v", "3"), ("a", "u", "2"), ("a", "u", "1"))], "evidence_key string, action_type string, target string, action_id string, compensating_action string")
+    rows = recall.ordered(recall.plan(nodes, done, "web:S")).collect()
+    assert [(r.action_type, r.target, r.action_id) for r in rows[:4]] == [("a", "u", "1"), ("a", "u", "2"), ("a", "v", "3"), ("z", "u", "1")]
+    assert [(r.branch, r.key) for r in rows[4:]] == [("h1", "k1"), ("h1", "k2"), ("main", "k1"), ("main", "k2")]

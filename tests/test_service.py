@@ -14,7 +14,15 @@ def test_story(spark, tmp_path):
     signer = SoftwareSigner(spark, "k")
     issuer = Issuer(signer, verifier(spark), "acme")
     store = Store(spark, str(tmp_path / "store"), issuer, clock=lambda: 1_700_000_000_000)
-    service = Service(store, A.rules(spark))
+
+    class Suspend:
+        action_type, is_simulated, compensating_action = "identity.suspend_account", False, "identity.reinstate_account"
+
+        def execute(self, p):
+            return actions.Outcome("success", "HELPDESK-1")
+
+    gateway = actions.ActionGateway(lambda p: True, [Suspend()])
+    service = Service(store, A.rules(spark), gateway=gateway)
 
     def call(method, **params):
         return json.loads(service.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})))
@@ -34,16 +42,17 @@ def test_story(spark, tmp_path):
     proposed = {"token": token, "branch": "s1", "actor": "agent", "action_type": "identity.suspend_account", "target": "user-42", "idempotency_key": "susp-1", "evidence_keys": ["claim/risk"]}
     assert call("action.propose", **proposed)["result"] == {"proposed": "susp-1"}
 
-    class Suspend:
-        action_type, is_simulated, compensating_action = "identity.suspend_account", False, "identity.reinstate_account"
-
-        def execute(self, p):
-            return actions.Outcome("success", "HELPDESK-1")
-
-    gateway = actions.ActionGateway(lambda p: True, [Suspend()])
     gateway.execute(actions.Proposal("identity.suspend_account", "user-42", "susp-1", "operator", evidence=((True, "Asserted"),), evidence_keys=("claim/risk",)))
-    plan = call("audit.taint", token=token, branch="s1", source="web:scraped-page-S", executed=[r for r in gateway.records() if r["status"] == "Succeeded"])["result"]["plan"]
-    assert plan.index("suspend_account on user-42") < plan.index("claim/risk") and "obs/erp" not in plan
+    # The ledger is the gateway's: what a caller leaves out is in the plan all the same.
+    audit = call("audit.taint", token=token, branch="s1", source="web:scraped-page-S", executed=[])["result"]
+    plan = audit["plan"]
+    assert plan.index("suspend_account on user-42") < plan.index("claim/risk") and "obs/erp" not in plan and "receipt HELPDESK-1" in plan
+    assert (audit["irreversible"], audit["reversible"]) == (1, 4)  # two records, on s1 and h2
+    rows = spark.read.parquet(audit["table"]).collect()
+    assert {(r.branch, r.key) for r in rows if r.section == "reversible"} == {(b, k) for b in ("s1", "h2") for k in ("obs/S", "claim/risk")}
+    assert all(r.commit and r.derived_via for r in rows if r.section == "reversible")
+    (done,) = [r for r in rows if r.section == "irreversible"]
+    assert (done.receipt, done.compensating_action) == ("HELPDESK-1", "identity.reinstate_account") and done.derived_via
 
     assert call("execute")["error"]["code"] == NO_METHOD
     assert call("read", token=token, branch="main", key="x")["error"]["code"] == REFUSED

@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.security import ActorRegistry, Envelope, Issuer, KeyDirectory, Refused, SoftwareSigner, TenantRouter, Token, TrustRoot, create_bundle, verifier, verify_bundle
-from tidemark.operators.store import Store
+from tidemark.operators.store import Conflict, Store
 from tidemark.sources import formats
 
 
@@ -159,3 +161,68 @@ def test_actors_keys_and_bundles(spark, store):
     assert router.route("acme", t) is store
     with pytest.raises(Refused):
         router.route("other", t)
+
+
+def observe(spark, store, t, branch, key, source):
+    row = spark.createDataFrame([(key, source, "x")], "k string, s string, p string")
+    return store.write(t, branch, env(t, branch), formats.observations(row, F.col("k"), F.col("s"), F.col("p"), F.lit(3), F.lit(1)))
+
+
+def test_taint_follows_forks_and_merges(spark, store):
+    """Two hops over a fork and a merge, with read-sets that hold nodes and no sources."""
+    t = store.open_session("s1")
+    observe(spark, store, t, "s1", "obs/S", "web:S")
+    observe(spark, store, t, "s1", "obs/ok", "erp:1")
+    last = lambda b, key: store.derivations(b).where(F.col("key") == key).orderBy(F.desc("seq")).first().node_id
+    t = store.branch(t, "s1", "h1")
+    t = store.branch(t, "s1", "clean")
+    store.write(t, "h1", env(t, "h1", derived_from=(last("h1", "obs/S"),)), counters(spark, hop=1))
+    store.write(t, "h1", env(t, "h1", derived_from=(last("h1", "hop"),)), counters(spark, far=1))
+    store.write(t, "clean", env(t, "clean", derived_from=(last("clean", "obs/ok"),)), counters(spark, fine=1))
+    assert store.merge(t, "h1", "s1", env(t, "s1")).kind == "merged"
+    store.write(t, "s1", env(t, "s1", derived_from=(last("s1", "far"),)), counters(spark, end=1))
+    got = {(r.branch, r.key) for r in store.tainted("web:S").select("branch", "key").collect()}
+    assert got == {(b, "obs/S") for b in ("s1", "h1", "clean")} | {("h1", "hop"), ("h1", "far"), ("s1", "hop"), ("s1", "far"), ("s1", "end")}
+    (end,) = store.tainted("web:S").where("key = 'end'").collect()
+    assert end.path[0] == last("s1", "obs/S") and end.path[-1] == end.node_id and end.commit == store.head("s1")
+    assert store.taint_statistics("web:S") == {"branches": 4, "nodes_examined": 7 + 4 + 3, "contaminated": store.tainted("web:S").count()}
+    assert {r.branch for r in store.derivations("h1").collect()} == {"h1"} and {r.written_on for r in store.derivations("h1").collect()} == {"s1", "h1"}
+
+
+def test_a_conflict_keeps_the_read_set(spark, store, monkeypatch):
+    t = store.open_session("s1")
+    observe(spark, store, t, "s1", "obs/S", "web:S")
+    store.read(t, "s1", "obs/S")
+    append = store.log.append
+    monkeypatch.setattr(store.log, "append", lambda *a: (_ for _ in ()).throw(Conflict("s1")))
+    with pytest.raises(Conflict):
+        store.write(t, "s1", env(t, "s1"), counters(spark, a=1))
+    monkeypatch.setattr(store.log, "append", append)
+    store.write(t, "s1", env(t, "s1"), counters(spark, a=1))
+    assert {r.key for r in store.tainted("web:S").collect()} == {"obs/S", "a"} and store.read_set("s1")["nodes"] == set()
+
+
+def test_one_writer_takes_a_name(spark, store):
+    path = f"{store.root}/refs/once"
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: store.files.create(path, f"writer {k}"), range(24)))
+    assert sum(won) == 1 and store.files.read(path) == f"writer {won.index(True)}"
+    assert store.files.names(f"{store.root}/refs").count("once") == 1 and not [n for n in store.files.names(f"{store.root}/refs") if n.endswith(".part")]
+
+
+def test_garbage_waits_for_its_grace(spark, store):
+    t = store.open_session("s1")
+    first = store.write(t, "s1", env(t, "s1"), counters(spark, a=1))
+    lost = store.write(t, "s1", env(t, "s1"), counters(spark, a=2))
+    store.rewind(t, "s1", first)
+    store._put("records", "unpublished", store._table("records", [lost]).drop("commit_id"))
+    assert store.collect_garbage() == []
+    assert store.collect_garbage(grace_ms=0) == sorted([lost, "unpublished"])
+    assert state(store.scan(t, "s1")) == {"a": 1} and all(store.verify_integrity().values())
+
+
+def test_ref_edits(store):
+    store.log.append([{"op": "RecordCommit", "name": "c1", "parents": [store.head("main")], "branch": "main", "seq": 1}, {"op": "AddParent", "name": "c1", "target": "other"}, {"op": "AddParent", "name": "c1", "target": "other"}], {})
+    assert store.log.refs["commits"]["c1"]["parents"] == [store.head("main"), "other"]
+    with pytest.raises(ValueError):
+        store.log._apply([{"op": "Unknown"}])

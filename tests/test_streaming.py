@@ -34,3 +34,15 @@ def test_first_decisions_and_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 12
+
+
+def test_a_late_repeat_is_no_second_decision(spark, tmp_path):
+    schema = "ts timestamp, idempotency_key string"
+    day = lambda d, k: spark.sql(f"SELECT timestamp'2024-01-{d:02d} 00:00:00' AS ts, '{k}' AS idempotency_key")
+    for d, k in ((1, "a"), (5, "b"), (9, "a"), (9, "c")):
+        day(d, k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streams.first_decisions(read).writeStream.format("memory").queryName("finals").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.idempotency_key for r in spark.table("finals").collect()) == ["a", "b", "c"]

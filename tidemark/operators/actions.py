@@ -31,7 +31,7 @@ def decide(proposals: DataFrame, rules: DataFrame, disabled: list[str], connecto
     connectors: (action_type, simulated). A simulation never runs on a real connector.
     """
     requests = first_proposals(proposals).select("*", F.lit("agent").alias("actor"), F.lit("authorize_action").alias("purpose"), F.col("action_type").alias("action"))
-    judged = policy.decide(requests, rules).join(F.broadcast(connectors.limit(10_000).select("action_type", F.col("simulated"))), "action_type", "left")
+    judged = policy.decide(requests, rules).join(connectors.select("action_type", "simulated"), "action_type", "left")
     status = (
         F.when(F.col("tenant").isin(*disabled) if disabled else F.lit(False), F.lit("Refused: disabled"))
         .when(~F.col("has_evidence"), F.lit("Refused: no evidence"))

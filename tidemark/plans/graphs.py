@@ -81,7 +81,8 @@ def forget_report(spark, sf_dir):
 
 
 def recall_plan(spark, sf_dir):
-    return recall.plan(A.nodes(spark, sf_dir), governance.executed_actions_frame(spark, sf_dir), SOURCE)
+    p = recall.plan(A.nodes(spark, sf_dir), governance.executed_actions_frame(spark, sf_dir), SOURCE)
+    return p.select("section", "branch", "key", "actor", "depth", "action_type", "target", "action_id", "compensating_action", "escalation", "derived_via")
 
 
 def plan_predicates(spark, sf_dir):
@@ -128,13 +129,19 @@ back AS (SELECT conv_id, turn AS place, turn, conv_id || '.' || turn AS via FROM
          UNION ALL SELECT conv_id, place - 1, turn, via || '>' || conv_id || '.' || (place - 1) FROM back WHERE place > 0)"""
 
 RECALL_SQL = f"""{A.NODES_SQL}, {governance.DECIDED_SQL},
-hit AS (SELECT n.branch, n.key, n.actor, min(depth) AS depth FROM nodes n JOIN tainted t ON t.branch = n.branch AND t.node_id = n.node_id GROUP BY ALL),
+ways AS (
+  SELECT branch, node_id, 0 AS depth, [node_id] AS path FROM seeds
+  UNION SELECT e.branch, e.node_id, w.depth + 1, list_append(w.path, e.node_id) FROM ways w JOIN edges e ON e.branch = w.branch AND e.parent = w.node_id),
+shortest AS (SELECT w.branch, w.node_id, w.depth, array_to_string(min(w.path), '>') AS via FROM ways w JOIN tainted USING (branch, node_id, depth) GROUP BY w.branch, w.node_id, w.depth),
+every_hit AS (SELECT n.branch, n.key, n.actor, t.depth, t.via FROM nodes n JOIN shortest t ON t.branch = n.branch AND t.node_id = n.node_id),
+hit AS (SELECT branch, key, actor, min(depth) AS depth, arg_min(via, {{d: depth, v: via}}) AS via FROM every_hit GROUP BY ALL),
+hit_keys AS (SELECT key, arg_min(via, {{d: depth, v: via}}) AS via FROM every_hit GROUP BY key),
 recall AS (
   SELECT 'irreversible' AS section, CAST(NULL AS VARCHAR) AS branch, evidence_key AS key, CAST(NULL AS VARCHAR) AS actor, CAST(NULL AS INTEGER) AS depth, action_type, target, action_id, compensating_action,
          CASE WHEN compensating_action IS NOT NULL THEN split_part(action_type, '.', -1) || ' on ' || target || ' can''t be undone; compensate with ' || compensating_action
-              ELSE split_part(action_type, '.', -1) || ' on ' || target || ' can''t be undone; a human must decide' END AS escalation
-  FROM decided WHERE status = 'Succeeded' AND evidence_key IN (SELECT key FROM hit)
-  UNION ALL SELECT 'reversible', branch, key, actor, CAST(depth AS INTEGER), NULL, NULL, NULL, NULL, NULL FROM hit)"""
+              ELSE split_part(action_type, '.', -1) || ' on ' || target || ' can''t be undone; a human must decide' END AS escalation, via AS derived_via
+  FROM decided JOIN hit_keys ON hit_keys.key = evidence_key WHERE status = 'Succeeded'
+  UNION ALL SELECT 'reversible', branch, key, actor, CAST(depth AS INTEGER), NULL, NULL, NULL, NULL, NULL, via FROM hit)"""
 
 EPOCHS_SQL = A.SESSION_SQL + """,
 epochs AS (

@@ -151,7 +151,7 @@ _KEYED = "keyed AS (SELECT 'v/' || lpad(CAST(vec_id AS VARCHAR), 12, '0') AS key
 
 SQL = {
     "tokenize_terms": r"""SELECT item_id, CAST(generate_subscripts(ws, 1) - 1 AS BIGINT) AS place, unnest(ws) AS term FROM (
-      SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS ws FROM benchmark)""",
+      SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)""",
     "token_cost": f"WITH {A.INDEX_SQL} SELECT key, {_COST} AS cost FROM index_entries",
     "score_text": f"WITH {A.INDEX_SQL} SELECT key, round({_TEXT}, 6) AS score FROM index_entries",
     "score_blend": f"WITH {A.INDEX_SQL} SELECT key, round(CASE WHEN stale THEN 0.25 ELSE 1 END * (coalesce(({_COS.format('embedding', _VEC)} + 1) / 2, 0) + {_TEXT}), 6) AS score FROM index_entries",

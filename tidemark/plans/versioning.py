@@ -155,10 +155,8 @@ def gc_unreachable(spark, sf_dir):
     """Commits that no head or tag reaches, with the last turns of every third conversation as refs."""
     c = A.commits(spark, sf_dir)
     last = A.table(spark, sf_dir, "conversations").where(F.col("conv_id") % 3 == 0).groupBy("conv_id").agg(F.max("turn").alias("last"))
-    roots = last.select(F.lit("gc").alias("g"), F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("last").cast("string")).alias("node_id"))
-    up = c.select(F.lit("gc").alias("g"), F.col("commit").alias("parent"), F.col("parent").alias("node_id"))
-    alive = graph.flood(up, roots, ["g"], max_depth=1_000_000).select(F.col("node_id").alias("commit"))
-    return c.select("commit").distinct().join(alive, "commit", "left_anti")
+    roots = last.select(F.concat(F.col("conv_id").cast("string"), F.lit("."), F.col("last").cast("string")).alias("commit"))
+    return c.select("commit").distinct().join(graph.reachable(c, roots), "commit", "left_anti")
 
 
 QUERIES = {f.__name__: f for f in (point_lookup, prefix_scan, branch_scan_latest, read_at_commit, rewind_state, changed_keys_since_base, branch_visibility_after_fork, merge_counters, merge_sets, merge_claims, merge_three_way, merge_conflicts, merge_take_source, merge_summary, merge_policy_veto, merge_provenance_parents, commit_ancestors, merge_base, criss_cross_detect, ref_state, gc_roots, gc_unreachable)}

@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterable
+from typing import Protocol
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import exprs as X
 from tidemark.operators import actions, recall, retrieval
+from tidemark.operators.checkpoints import Table
 from tidemark.operators.security import Envelope, Refused, Token
 from tidemark.operators.store import Store
 from tidemark.sources import formats
@@ -32,7 +35,15 @@ class TokenBucket:
         return True
 
 
+class RequestObserver(Protocol):
+    """What a service tells of each request: the seconds it took, and whether it failed or was refused."""
+
+    def seen(self, took: float, failed: bool, denied: bool) -> None: ...
+
+
 class Telemetry:
+    """Counts requests."""
+
     def __init__(self) -> None:
         self.requests = self.failures = self.denied = 0
         self.seconds = 0.0
@@ -42,9 +53,10 @@ class Telemetry:
 
 
 class Service:
-    def __init__(self, store: Store, rules, bucket: TokenBucket | None = None) -> None:
-        self.store, self.rules, self.bucket = store, rules, bucket or TokenBucket(50, 100)
-        self.agent, self.telemetry = actions.AgentStore(), Telemetry()
+    def __init__(self, store: Store, rules, bucket: TokenBucket | None = None, gateway: actions.ActionGateway | None = None, observer: RequestObserver | None = None) -> None:
+        """gateway: the operator's, whose ledger audits read; no verb can reach its execute()."""
+        self.store, self.rules, self.bucket, self.gateway = store, rules, bucket or TokenBucket(50, 100), gateway
+        self.agent, self.telemetry = actions.AgentStore(), observer or Telemetry()
         self.verbs = {
             "session.open": self.session_open,
             "observe": self.observe,
@@ -113,12 +125,15 @@ class Service:
         return {"proposed": made.idempotency_key}
 
     def audit_taint(self, p: dict) -> dict:
+        """The recall plan of a source over every branch of the tenant, with the actions of the gateway's own ledger:
+        what a caller says was executed is not asked. The whole plan is a table; the text shows how much of it."""
         t = Token.from_json(p["token"])
         self.store.issuer.check(t, self.store.clock(), p["branch"])
-        nodes = self.store.derivations(p["branch"])
-        done = [r for r in p.get("executed", [])]
-        executed = self.store.spark.createDataFrame([(k, r["type"], r["target"], r["idempotency_key"], r.get("compensating_action")) for r in done for k in r["justified_by"]], "evidence_key string, action_type string, target string, action_id string, compensating_action string")
-        return {"plan": recall.render(recall.plan(nodes, executed, p["source"]))}
+        done = [r for r in (self.gateway.records() if self.gateway else []) if r["status"] == "Succeeded"]
+        rows = [(k, r["type"], r["target"], r["idempotency_key"], r["compensating_action"], r["receipt"]) for r in done for k in r["justified_by"]]
+        executed = self.store.spark.createDataFrame(rows, "evidence_key string, action_type string, target string, idempotency_key string, compensating_action string, receipt string")
+        plan = Table(self.store.recall_plan(p["source"], executed.withColumn("action_id", X.action_id(F.col("idempotency_key")))), "recall")
+        return {"plan": recall.render(plan.last), "table": plan.paths[0], **recall.totals(plan.last)}
 
     # -- protocol --
 

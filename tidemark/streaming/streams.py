@@ -38,9 +38,10 @@ def session_read_sets(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandasWithState(_consume, CONSUMED, STATE, "append", "NoTimeout")
 
 
-def first_decisions(proposals: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The first proposal of each idempotency key. Keys are forgotten after the delay, which bounds the state."""
-    return proposals.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
+def first_decisions(proposals: DataFrame) -> DataFrame:
+    """The first proposal of each idempotency key. The first decision on a key is final, so no key is ever forgotten:
+    the state has an entry for each key, which a state store on disk (RocksDB) holds."""
+    return proposals.dropDuplicates(["idempotency_key"])
 
 
 def append_claims(claims: DataFrame, path: str, checkpoint: str):
