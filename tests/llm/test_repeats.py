@@ -44,13 +44,13 @@ def test_runs_hold_every_window_once(monkeypatch, piece):
     monkeypatch.setattr(repeats, "PIECE", piece)
     rng = np.random.default_rng(3)
     docs = {1: bytes(rng.integers(97, 123, 5000, dtype=np.uint8)), 2: b"x" * 399, 3: b"ab" * 600, 4: b"", 5: bytes(rng.integers(97, 99, 1200, dtype=np.uint8))}
-    batch = pa.RecordBatch.from_arrays([pa.array(list(docs), pa.int64()), pa.array([d.decode() for d in docs.values()])], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(list(docs), pa.int64()), pa.array([d.decode() for d in docs.values()]), pa.array([7] * len(docs), pa.int64())], names=["id", "text", "tag"])
     seen = {d: [] for d in docs}
     grams: dict = {}
     for out in repeats._anchor_batches(iter([batch])):
         for r in out.to_pylist():
-            data, first, last = docs[r["doc_id"]], r["at"] - r["before"], r["at"] + r["behind"] - repeats.LENGTH
-            seen[r["doc_id"]] += range(first, last + 1)
+            data, first, last = docs[r["id"]], r["at"] - r["before"], r["at"] + r["behind"] - repeats.LENGTH
+            seen[r["id"]] += range(first, last + 1)
             assert first <= r["at"] and r["at"] + repeats.GRAM <= first + repeats.LENGTH
             assert grams.setdefault(r["h"], data[r["at"] : r["at"] + repeats.GRAM]) == data[r["at"] : r["at"] + repeats.GRAM]
     assert all(sorted(w) == list(range(max(0, len(docs[d]) - repeats.LENGTH + 1))) for d, w in seen.items())

@@ -19,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; makes a local one only where none is named."""
+    """Uses the folder that the cluster names. Where none is named, a local one serves a local master; on a cluster
+    that is an error, since executors would not see each other's files."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -42,6 +45,28 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def tag_of(column: str = "text") -> Column:
+    """Beside an id, tells apart rows that repeat it with another text."""
+    return F.xxhash64(text_or_empty(column))
+
+
+#: Stands for a null id in joins; beside a tag, it can only meet rows of the same text.
+NO_ID = -(1 << 63)
+
+
+def id_of(column: Column | str = "doc_id") -> Column:
+    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(NO_ID)).cast("long")
+
+
+def rows_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs that kept names by (kept_id, kept_tag), and, where it has it, kept_host; nulls are equal."""
+    kept = kept.withColumn("kept_id", id_of("kept_id"))
+    same = (id_of(docs["doc_id"]) == kept["kept_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == kept["kept_tag"])
+    if "kept_host" in kept.columns:
+        same = same & docs["source"].eqNullSafe(kept["kept_host"])
+    return docs.join(kept, same, "left_semi")
+
+
 def let(value: Column, body) -> Column:
     """Binds value once for body: inlined projections would evaluate it for each element of a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

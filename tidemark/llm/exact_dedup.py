@@ -8,8 +8,10 @@ one of them chunk by chunk, stopping at the first difference; what differs in sp
 fingerprint is grouped by its SHA-256 instead.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; ties go to
-the smallest id; rows that repeat an id get the same verdict; an empty table gives an empty
-result; other columns are ignored.
+the smallest id; a huge text is hashed and compared in pieces, though the last comparison has two
+whole texts in one row; rows that repeat an id are judged each by its own text, and copies of the
+row that stays, with its id, stay too; a null id is an id like any other; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE_BYTES, cut, text_or_empty
+from tidemark.llm.common import WHITE_BYTES, cut, id_of, rows_of, tag_of, text_or_empty
 
 PRIME = (1 << 61) - 1
 BASE = 1_000_003_900_133
@@ -90,15 +92,15 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sizes.append(len(data))
             shas.append(hashlib.sha256(data).hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2), pa.array(shas, pa.string())],
-            names=["doc_id", "print", "n_bytes", "n_chars", "text_sha256"],
+            [batch.column(0), batch.column(3), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), batch.column(2), pa.array(shas, pa.string())],
+            names=["doc_id", "tag", "print", "n_bytes", "n_chars", "text_sha256"],
         )
 
 
 def _same_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         same = [equal_in_chunks(a.as_py(), b.as_py()) for a, b in zip(batch.column(1).cast(pa.large_binary()), batch.column(2).cast(pa.large_binary()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], names=["doc_id", "same"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(same, pa.bool_())], names=["id", "tag", "same"])
 
 
 def equal_in_chunks(a: bytes | None, b: bytes | None, chunk: int = 1 << 16) -> bool:
@@ -121,12 +123,12 @@ def equal_in_chunks(a: bytes | None, b: bytes | None, chunk: int = 1 << 16) -> b
         left, right = left[n:], right[n:]
 
 
-HASHED = "doc_id long, print long, n_bytes long, n_chars long, text_sha256 string"
+HASHED = "doc_id long, tag long, print long, n_bytes long, n_chars long, text_sha256 string"
 
 
 def fingerprints(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
-    """doc_id, print, n_bytes (normalised), n_chars (original), text_sha256 of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    """doc_id, tag, print, n_bytes (normalised), n_chars (original), text_sha256 of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("*", F.length("text").cast("long").alias("n_chars"), tag_of().alias("tag"))
     small = rows.where(F.col("n_chars") <= huge_chars).mapInArrow(_hash_batches, HASHED)
     # The pieces of a huge document: cut by characters, normalised and cut again by bytes within
     # a task. SHA-256 can't be composed, so one task streams it over the whole text.
@@ -135,22 +137,23 @@ def fingerprints(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
 
 
 def _huge(huge: DataFrame, piece: int) -> DataFrame:
-    pieces = huge.select("doc_id", "n_chars", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_chars") - 1, F.lit(piece)), lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.lit(piece)))).alias("i", "text"))
+    pieces = huge.select("doc_id", "tag", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_chars") - 1, F.lit(piece)), lambda at: F.substring(F.col("text"), (at + 1).cast("int"), F.lit(piece)))).alias("i", "text"))
     # A piece is normalised to a length that only its own task knows. Its digits start anew at the
     # document's digit boundary only if that length is a multiple of four, so bytes left over are
     # handed to the next piece: each row carries (its bytes modulo four) at both ends.
-    hashed = pieces.repartition("doc_id", "i").mapInArrow(_piece_batches, "doc_id long, i int, n_bytes long, digests array<struct<shift:int,print:long,digits:long,tail:binary,head:binary>>")
-    joined = hashed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "n_bytes", "digests"))).alias("pieces"))
-    whole = joined.mapInArrow(_join_batches, "doc_id long, print long, n_bytes long")
-    shas = huge.mapInArrow(_sha_batches, "doc_id long, n_chars long, text_sha256 string")
-    return whole.join(shas, "doc_id").select("doc_id", "print", "n_bytes", "n_chars", "text_sha256")
+    hashed = pieces.distinct().repartition("doc_id", "tag", "i").mapInArrow(_piece_batches, "doc_id long, tag long, i int, n_bytes long, digests array<struct<shift:int,print:long,digits:long,tail:binary,head:binary>>")
+    joined = hashed.groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list(F.struct("i", "n_bytes", "digests"))).alias("pieces"))
+    whole = joined.mapInArrow(_join_batches, "of_doc long, of_tag long, print long, n_bytes long")
+    shas = huge.mapInArrow(_sha_batches, "doc_id long, tag long, n_chars long, text_sha256 string")
+    found = shas.join(whole, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("tag") == F.col("of_tag")))
+    return found.select("doc_id", "tag", "print", "n_bytes", "n_chars", "text_sha256")
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each of the four places where the document's digits can begin in a piece, the hash of its whole digits."""
     for batch in batches:
         out = []
-        for doc, _, i, text in zip(*[c.to_pylist() for c in batch.columns]):
+        for doc, tag, i, text in zip(*[c.to_pylist() for c in batch.columns]):
             data, digests = normalise(text), []
             for shift in range(4):
                 head = data[:shift]
@@ -158,8 +161,8 @@ def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 tail = body[len(body) - len(body) % 4 :]
                 h, digits = fingerprint(body[: len(body) - len(tail)])
                 digests.append({"shift": shift, "print": h, "digits": digits, "tail": tail, "head": head})
-            out.append({"doc_id": doc, "i": i, "n_bytes": len(data), "digests": digests})
-        yield from pa.Table.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("i", pa.int32()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.struct([("shift", pa.int32()), ("print", pa.int64()), ("digits", pa.int64()), ("tail", pa.binary()), ("head", pa.binary())])))])).to_batches()
+            out.append({"doc_id": doc, "tag": tag, "i": i, "n_bytes": len(data), "digests": digests})
+        yield from pa.Table.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("i", pa.int32()), ("n_bytes", pa.int64()), ("digests", pa.list_(pa.struct([("shift", pa.int32()), ("print", pa.int64()), ("digits", pa.int64()), ("tail", pa.binary()), ("head", pa.binary())])))])).to_batches()
 
 
 def join_pieces(pieces: list[dict]) -> tuple[int, int]:
@@ -180,8 +183,9 @@ def join_pieces(pieces: list[dict]) -> tuple[int, int]:
 
 def _join_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(doc, *join_pieces(pieces)) for doc, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "print", "n_bytes"])
+        found = [join_pieces(pieces) for pieces in batch.column(2).to_pylist()]
+        columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["of_doc", "of_tag", "print", "n_bytes"])
 
 
 def _sha_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,28 +196,36 @@ def _sha_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for at in range(0, raw.size, 1 << 20):
                 digest.update(normalise(raw.slice(at, min(1 << 20, raw.size - at)).to_pybytes()))
             shas.append(digest.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shas, pa.string())], names=["doc_id", "n_chars", "text_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(2), pa.array(shas, pa.string())], names=["doc_id", "tag", "n_chars", "text_sha256"])
 
 
 def groups(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return tagged_groups(docs, huge_chars).drop("tag")
+
+
+def tagged_groups(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
+    """As groups(), with the tag of the text that a row is about.
 
     Texts travel only for documents whose fingerprint occurs more than once. Every such document
     is compared with the one that stays for its fingerprint; adaptive joins split a fingerprint
     that many documents share, as no step needs a whole group in one task.
     """
-    hashed = cut(fingerprints(docs, huge_chars))
+    hashed = cut(fingerprints(docs, huge_chars)).withColumn("id", id_of())
     key = ["print", "n_bytes"]
-    best = F.max_by(F.col("doc_id"), F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("d")))
-    shared = cut(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), best.alias("rep_id")).where(F.col("n") > 1))
-    members = hashed.join(shared, key).select("doc_id", "rep_id", *key)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    with_text = members.join(texts, "doc_id")
-    reps = with_text.where(F.col("doc_id") == F.col("rep_id")).select("rep_id", F.col("text").alias("rep_text"))
-    others = with_text.where(F.col("doc_id") != F.col("rep_id"))
-    same = cut(others.join(reps, "rep_id").select("doc_id", "text", "rep_text").mapInArrow(_same_batches, "doc_id long, same boolean"))
-    differ = same.where(~F.col("same")).select("doc_id", F.lit(True).alias("differs")).distinct()
-    marked = hashed.join(differ, "doc_id", "left").withColumn("class", F.when(F.col("differs"), F.col("text_sha256")))
+    order = F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("d"))
+    best = F.max_by(F.col("doc_id"), order)
+    shared = cut(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("id", "tag"), order).alias("rep")).where(F.col("n") > 1))
+    # Rows that repeat an id with its text are one.
+    members = hashed.join(shared, key).select("id", "tag", F.col("rep.id").alias("rep_id"), F.col("rep.tag").alias("rep_tag")).dropDuplicates(["id", "tag"])
+    texts = docs.select(id_of().alias("id"), text_or_empty().alias("text")).withColumn("tag", tag_of())
+    with_text = texts.join(members, ["id", "tag"])
+    own = (F.col("id") == F.col("rep_id")) & (F.col("tag") == F.col("rep_tag"))
+    reps = with_text.where(own).groupBy("id", "tag").agg(F.first("text").alias("rep_text")).withColumnsRenamed({"id": "rep_id", "tag": "rep_tag"})
+    both = with_text.where(~own).join(reps, ["rep_id", "rep_tag"])
+    same = cut(both.select("id", "text", "rep_text", "tag").mapInArrow(_same_batches, "id long, tag long, same boolean"))
+    differ = same.where(~F.col("same")).select("id", "tag", F.lit(True).alias("differs")).distinct()
+    marked = hashed.join(differ, ["id", "tag"], "left").withColumn("class", F.when(F.col("differs"), F.col("text_sha256")))
     sizes = marked.groupBy(*key, "class").agg(F.count(F.lit(1)).alias("group_size"), best.alias("keep_id"))
     several = sizes.where(F.col("group_size") > 1).withColumnRenamed("class", "of_class").withColumnsRenamed({"print": "of_print", "n_bytes": "of_bytes"})
     joined = marked.join(several, (F.col("print") == F.col("of_print")) & (F.col("n_bytes") == F.col("of_bytes")) & F.col("class").eqNullSafe(F.col("of_class")), "left")
@@ -222,12 +234,12 @@ def groups(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
         "doc_id",
         keep.alias("keep_id"),
         F.coalesce(F.col("group_size"), F.lit(1)).cast("long").alias("group_size"),
-        (keep == F.col("doc_id")).alias("kept"),
+        keep.eqNullSafe(F.col("doc_id")).alias("kept"),
         "text_sha256",
+        "tag",
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    return rows_of(docs, tagged_groups(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag")))

@@ -16,9 +16,12 @@ A source that has run out leaves its slots empty, and the others close ranks; so
 kept, and up to the first exhaustion the deviation stays below one block. In a whole run a slot
 left empty may go to a block that is released already.
 
-Defined cases: a null source is a source of its own; texts are not looked at; rows that repeat
-an id stand next to each other in the order; sources without a weight share the smallest given
-weight; a source of weight 0 stands after all others, and a negative weight is refused; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null source is a source of its own; texts are not looked at, whatever their
+length; a null id is an id like any other; rows that repeat an id have a place each, in an order
+that may be any among them, and stand next to each other if their source is the same; blocks that
+are due at once go by the names of their sources, null first; sources without a weight share the
+smallest given weight; a source of weight 0 stands after all others, and a negative weight is
+refused; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, id_of
 
 BLOCK = 16
 #: Slots of a repeated period, at most, or ten for each source if that is more.
@@ -237,6 +240,6 @@ def ordered(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """All rows of docs with their columns, laid out in mixture order over the partitions. Readers of files
     need not keep it: the place itself is what places() gives, the same for the same rows."""
     ranks = places(docs, weights)
-    joined = docs.join(ranks, docs["doc_id"] == ranks["mixed_id"])
+    joined = docs.join(ranks, id_of(docs["doc_id"]) == id_of(ranks["mixed_id"]))
     rank = ranks["mix_rank"]
     return joined.repartitionByRange(rank).sortWithinPartitions(rank).select(*[docs[c] for c in docs.columns])

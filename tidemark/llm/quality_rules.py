@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, WHITE_CLASS, cut, let, text_or_empty
+from tidemark.llm.common import WHITE, WHITE_CLASS, cut, let, rows_of, tag_of, text_or_empty
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
@@ -140,6 +140,13 @@ def host_rates(featured: DataFrame) -> DataFrame:
     return found.select("host", "n_docs", *shrunk, *[F.col(f"prior.limit_{name}") for name in names])
 
 
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    own = docs.select("doc_id", "text", "source").withColumn("kept_tag", tag_of())
+    judged = judge(own.select(F.struct("doc_id", "kept_tag", F.col("source").alias("kept_host")).alias("doc_id"), "text", "source"))
+    return rows_of(docs, judged.where("kept").select(F.col("doc_id.doc_id").alias("kept_id"), "doc_id.kept_tag", "doc_id.kept_host"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: the features, base_failed, and kept after the verdict on its host."""
     featured = cut(features(docs, id_col, text_col, host_col))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from tidemark.llm import (
     html_extraction,
     language_id,
     mixing,
+    pipeline,
     quality_rules,
     repeats,
     sentencepiece_nbest,
@@ -88,14 +88,14 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     found = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL:
+        found["pipeline"] = pipeline.ORACLE_SQL
     return found
 
 

@@ -18,8 +18,9 @@ windows with the same anchor is one row: the anchor's hash and a digest of the r
    digest of each of their windows is counted by a grouped aggregate.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes have no match; overlapping
-occurrences count, so a long run of one byte is removed; two rows with one id would be two
-places, and each is reported on its own text; an empty table gives an empty result; other
+occurrences count, so a long run of one byte is removed; very long texts are cut into pieces that
+overlap, so that each window is in one; two rows with one id are two places, and each is reported
+on its own text; a null id is an id like any other; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_or_empty
+from tidemark.llm.common import NO_ID, id_of, stored, tag_of, text_or_empty
 
 LENGTH = 400
 GRAM = 200
@@ -120,12 +121,12 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, gram: in
     return hashes[place[first]], place[first], windows[first], windows[last]
 
 
-ANCHORS = "doc_id long, at long, before int, behind int, h long, c1 long, c2 long"
+ANCHORS = "id long, tag long, at long, before int, behind int, h long, c1 long, c2 long"
 
 
-def _pieces(texts: Iterable[tuple[int, bytes]]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
+def _pieces(texts: Iterable[tuple]) -> Iterator[tuple[list, list[int], bytes, np.ndarray]]:
     """Texts laid end to end, up to about PIECE bytes; long ones cut so that each window is in one piece."""
-    ids: list[int] = []
+    ids: list = []
     offsets: list[int] = []
     parts: list[bytes] = []
     total = 0
@@ -153,7 +154,7 @@ def _pieces(texts: Iterable[tuple[int, bytes]]) -> Iterator[tuple[list[int], lis
 
 def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1).cast(pa.large_binary())))
+        texts = zip(range(batch.num_rows), (t.as_py() for t in batch.column(1).cast(pa.large_binary())))
         for ids, offsets, raw, bounds in _pieces(texts):
             data = np.frombuffer(raw, np.uint8)
             h, place, first, last = anchors(data, bounds)
@@ -161,8 +162,9 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             shift = np.asarray(offsets)[which] - bounds[which]
             digests = b"".join([hashlib.blake2b(raw[a : b + LENGTH], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist())])
             c = np.frombuffer(digests, "<i8").reshape(-1, 2)
-            columns = (np.asarray(ids, np.int64)[which], place + shift, (place - first).astype(np.int32), (last + LENGTH - place).astype(np.int32), h.view(np.int64), c[:, 0], c[:, 1])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "at", "before", "behind", "h", "c1", "c2"])
+            rows = pa.array(np.asarray(ids, np.int64)[which])
+            columns = (place + shift, (place - first).astype(np.int32), (last + LENGTH - place).astype(np.int32), h.view(np.int64), c[:, 0], c[:, 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), *[pa.array(x) for x in columns]], names=["id", "tag", "at", "before", "behind", "h", "c1", "c2"])
 
 
 # ---- runs of one anchor ------------------------------------------------------------------------
@@ -252,20 +254,20 @@ def merged(parts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc_id, at, before, alone, data) come sorted by h; an anchor's rows may go on in the next batch."""
+    """Rows (h, id, tag, at, before, alone, data) come sorted by h; an anchor's rows may go on in the next batch."""
     held: list[tuple] = []
 
-    def settle(rows: list[tuple]) -> list[tuple[int, int, int]]:
+    def settle(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
         found = []
         if len(rows) > 1:
-            for (_, doc, at, before, alone, _), parts in zip(rows, repeated_parts([(r[5], r[3]) for r in rows])):
+            for (_, doc, tag, at, before, alone, _), parts in zip(rows, repeated_parts([(r[6], r[4]) for r in rows])):
                 if alone:
-                    found += [(doc, at - before + a, at - before + b) for a, b in parts]
+                    found += [(doc, tag, at - before + a, at - before + b) for a, b in parts]
         return found
 
     def batch_of(found: list) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "a", "b"])
+        columns = list(zip(*found)) or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "tag", "a", "b"])
 
     for batch in batches:
         found = []
@@ -283,16 +285,16 @@ def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each document."""
-    names = ["h", "doc_id", "at", "before", "alone", "n", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
+    names = ["h", "id", "tag", "at", "before", "alone", "n", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
         size = 0
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2)):
+        for doc, tag, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), batch.column(3)):
             data = text.as_py()
             for w in wanted.as_py():
                 part = data[w["at"] - w["before"] : w["at"] + w["behind"]]
-                rows.append((w["h"], doc, w["at"], w["before"], w["alone"], w["n"], part))
+                rows.append((w["h"], doc, tag, w["at"], w["before"], w["alone"], w["n"], part))
                 size += len(part)
                 if size > 1 << 23:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -301,39 +303,39 @@ def _slice_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
-SLICES = "h long, doc_id long, at long, before int, alone boolean, n long, data binary"
+SLICES = "h long, id long, tag long, at long, before int, alone boolean, n long, data binary"
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, place in the run, digest) of every window of a run, with the document's place."""
     for batch in batches:
-        for h, doc, at, before, alone, _, data in zip(*[c.to_pylist() for c in batch.columns]):
+        for h, doc, tag, at, before, alone, _, data in zip(*[c.to_pylist() for c in batch.columns]):
             n = len(data) - LENGTH + 1
             digests = b"".join([hashlib.blake2b(data[k : k + LENGTH], digest_size=16).digest() for k in range(n)])
             c = np.frombuffer(digests, "<i8").reshape(-1, 2)
-            columns = [np.full(n, h), np.full(n, doc), at - before + np.arange(n), np.full(n, alone), c[:, 0], c[:, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "doc_id", "a", "alone", "c1", "c2"])
+            columns = [np.full(n, h), np.full(n, doc), np.full(n, tag), at - before + np.arange(n), np.full(n, alone), c[:, 0], c[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "id", "tag", "a", "alone", "c1", "c2"])
 
 
 def repeated_spans(rows: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(doc_id, a, b): byte spans of rows (doc_id, text) that repeated strings cover; spans may overlap."""
+    """(id, tag, a, b): byte spans of rows (id, text, tag) that repeated strings cover; spans may overlap."""
     found = stored(rows.mapInArrow(_anchor_batches, ANCHORS))
-    key = ["h", "c1", "c2"]
-    kinds = stored(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at", "before", "behind")).alias("rep")))
+    key, row = ["h", "c1", "c2"], ["id", "tag"]
+    kinds = stored(found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "at", "before", "behind")).alias("rep")))
     copies = kinds.where(F.col("n") > 1).select(*key)
-    whole = found.join(copies, key, "left_semi").select("doc_id", (F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("behind")).alias("b"))
+    whole = found.join(copies, key, "left_semi").select(*row, (F.col("at") - F.col("before")).alias("a"), (F.col("at") + F.col("behind")).alias("b"))
 
     several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.min("n").alias("least")).where((F.col("runs") > 1) & (F.col("least") == 1))
     wanted = kinds.join(several, "h").select("h", "rep.*", (F.col("n") == 1).alias("alone"), F.col("runs").alias("n"))
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "at", "before", "behind", "alone", "n")).alias("wanted"))
-    slices = rows.join(per_doc, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_slice_batches, SLICES)
+    per_doc = wanted.groupBy(*row).agg(F.collect_list(F.struct("h", "at", "before", "behind", "alone", "n")).alias("wanted"))
+    slices = rows.join(per_doc, row).select(*row, "text", "wanted").mapInArrow(_slice_batches, SLICES)
     slices = stored(slices)
-    few = slices.where(F.col("n") <= hot_runs).select("h", "doc_id", "at", "before", "alone", "data")
-    parts = few.repartition("h").sortWithinPartitions("h").mapInArrow(_part_batches, "doc_id long, a long, b long")
+    few = slices.where(F.col("n") <= hot_runs).select("h", *row, "at", "before", "alone", "data")
+    parts = few.repartition("h").sortWithinPartitions("h").mapInArrow(_part_batches, "id long, tag long, a long, b long")
 
-    windows = slices.where(F.col("n") > hot_runs).mapInArrow(_window_batches, "h long, doc_id long, a long, alone boolean, c1 long, c2 long")
+    windows = slices.where(F.col("n") > hot_runs).mapInArrow(_window_batches, "h long, id long, tag long, a long, alone boolean, c1 long, c2 long")
     twice = windows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(*key)
-    hot = windows.where("alone").join(twice, key, "left_semi").select("doc_id", "a", (F.col("a") + LENGTH).alias("b"))
+    hot = windows.where("alone").join(twice, key, "left_semi").select(*row, "a", (F.col("a") + LENGTH).alias("b"))
     return whole.unionByName(parts).unionByName(hot)
 
 
@@ -358,6 +360,7 @@ def _remove_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def remove_repeats(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the bytes kept."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    spans = repeated_spans(rows, hot_runs).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    return rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove_batches, REMOVED)
+    rows = docs.select(id_of().alias("id"), text_or_empty().alias("text"), tag_of().alias("tag"))
+    spans = repeated_spans(rows, hot_runs).groupBy("id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    joined = rows.join(spans, ["id", "tag"], "left")
+    return joined.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "text", "spans").mapInArrow(_remove_batches, REMOVED)

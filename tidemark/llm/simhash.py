@@ -9,13 +9,16 @@ leading masked bits stand together; upper nodes hold the shared bit pattern of a
 Pairs of nodes are compared from the top, their differences accumulate on the way down, and a
 pair over the limit is pruned with all that lies below it.
 
-Buckets that hold more than HOT_BUCKET fingerprints are dealt out again by the remaining bits,
-so no bucket has to fit one task. A task returns a spanning forest of its links, never all
+Buckets that hold more than HOT_BUCKET fingerprints are dealt out again by the remaining bits:
+a bucket then has 32 bits and about 11 more alike, so it holds at most the 2^22 fingerprints that
+the other bits can make, however many documents there are. A task returns a spanning forest of its links, never all
 pairs; the components are then found by star contraction.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links
-like any other; equal rows have equal fingerprints and one component; an empty table gives an
-empty result; other columns are ignored.
+like any other; very long texts are hashed whole, a block of shingles at a time; a bit set in just
+half of the hashes is 0; equal rows have equal fingerprints and one component; rows that repeat an
+id are linked each by its own text; rows without an id take their component's least id, null if
+none has one; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_or_empty
+from tidemark.llm.common import cut, rows_of, tag_of, text_or_empty
 from tidemark.llm.components import components
 
 #: The contract's shingle length, seed and limit.
@@ -65,13 +68,13 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         prints = np.array([simhash(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], names=["doc_id", "tag", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the 64 bits as a signed long) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_hash_batches, "doc_id long, print long")
+    """doc_id, tag (of its text) and print (the 64 bits as a signed long) of every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), tag_of().alias("tag"))
+    return rows.mapInArrow(_hash_batches, "doc_id long, tag long, print long")
 
 
 def gray_rank(prints: np.ndarray) -> np.ndarray:
@@ -205,7 +208,7 @@ def _split_hot(keyed: DataFrame, hot_bucket: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Edges (a, b) between ids of distinct fingerprints (id, print): enough to connect all that link."""
+    """Edges (a, b) between ids (of any kind) of distinct fingerprints (id, print): enough to connect all that link."""
     keyed = _split_hot(_buckets(distinct), hot_bucket)
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInPandas(_link_batches, "a long, b long")
@@ -213,16 +216,24 @@ def links(distinct: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
 def near_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (the least doc_id it connects to)."""
+    return tagged_groups(docs, hot_bucket).drop("tag")
+
+
+def tagged_groups(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """As near_groups(), with the tag of the text that a row is about. Fingerprints are what links, so they name the
+    nodes; a component's id is the least of its documents'."""
     hashed = cut(fingerprints(docs))
-    distinct = cut(hashed.groupBy("print").agg(F.min("doc_id").alias("id")))
-    found = components(links(distinct, hot_bucket))
-    joined = distinct.join(found, "id", "left").select(F.col("print").alias("of_print"), F.coalesce("component", "id").alias("component_id"))
-    return hashed.join(joined, F.col("print") == F.col("of_print")).select(
-        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    distinct = cut(hashed.groupBy("print").agg(F.min("doc_id").alias("least")))
+    found = components(links(distinct.select(F.col("print").alias("id"), "print"), hot_bucket))
+    # Only fingerprints that link have a component.
+    joined = distinct.join(found, F.col("print") == F.col("id"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "of_component")
+    named = joined.join(least, F.col("component") == F.col("of_component")).select(F.col("id").alias("of_print"), "component_id")
+    ids = distinct.join(named, F.col("print") == F.col("of_print"), "left").select(F.col("print").alias("of_print"), F.coalesce("component_id", "least").alias("component_id"))
+    return hashed.join(ids, F.col("print") == F.col("of_print")).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "tag")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least doc_id."""
-    kept = near_groups(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
+    """The rows of docs that stay: of each component those with the least doc_id (one, unless rows repeat it)."""
+    kept = tagged_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows_of(docs, kept.select(F.col("doc_id").alias("kept_id"), F.col("tag").alias("kept_tag")))
