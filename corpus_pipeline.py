@@ -1,60 +1,5 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: STAGES over documents, each written as Parquet and reread by the next; see tidemark.llm.pipeline."""
 
-from __future__ import annotations
+from tidemark.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import exact_dedup, mixing, quality_rules, sentencepiece_nbest, simhash
-from tidemark.llm.common import ensure_checkpoint_dir, read
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality_rules.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-
-
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(docs)
-
-
-def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, laid out in the order of the mixture. The columns stay, so encode() looks the places up again."""
-    return mixing.ordered(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with the ids, number and score of the best segmentation, whether decoding restores the text, and
-    mix_rank, the document's place in the mixture (from 0)."""
-    encoded = sentencepiece_nbest.encode(docs).select("doc_id", "ids", "n_pieces", "score", "restored")
-    ranks = mixing.places(docs)
-    joined = encoded.join(ranks, encoded["doc_id"] == ranks["mixed_id"], "left")
-    return joined.select(*[encoded[c] for c in encoded.columns], ranks["mix_rank"])
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("exact dedup", exact),
-    ("simhash near dedup", near),
-    ("mixing to target weights", mix),
-    ("sentencepiece encoding", encode),
-]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each result goes through a table in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{shared}/{k}")
-        docs = spark.read.parquet(f"{shared}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
