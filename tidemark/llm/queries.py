@@ -19,6 +19,7 @@ from tidemark.llm import (
     toxicity,
 )
 from tidemark.llm.common import read
+from tidemark.llm.sql import OP5_SQL, OP7_SQL
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": OP9_SQL}
+    found = {"op1_exact_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_repeats": OP7_SQL, "op9_quality_rules": OP9_SQL}
     if pipeline.ORACLE_SQL:
         found["pipeline"] = pipeline.ORACLE_SQL
     return found
