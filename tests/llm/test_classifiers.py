@@ -83,3 +83,62 @@ def test_trees_learn_a_product():
     model = tx.Model()
     tx.grow(x[:1500], y[:1500], model)
     assert ((model.raw(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.97
+
+
+def plain_language(model, raw):
+    """Logits by one subword at a time, from the joint table."""
+    seen = [" " if b < 128 and not chr(b).isalpha() else chr(b).lower() if b < 128 else chr(b) for b in raw]
+    x = [" "]
+    for c in seen:
+        if c != " " or x[-1] != " " or len(x) == 1:
+            x.append(c)
+    x = [ord(c) for c in [*x, " "]]
+    rows = []
+    for order in li.ORDERS:
+        for at in range(len(x) - order + 1):
+            h = order
+            for b in x[at : at + order]:
+                h = (h ^ b) * 0x01000193 % 2**32
+            rows.append((h ^ h >> 15) % li.BUCKETS)
+    logits = [sum(float(model.table[r][k]) for r in rows) / len(rows) + float(model.bias[k]) for k in range(len(model.languages))]
+    e = [np.exp(v / model.temperature - max(logits) / model.temperature) for v in logits]
+    k = max(range(len(e)), key=lambda i: (e[i], -i))
+    return model.languages[k], e[k] / sum(e)
+
+
+def test_language_against_a_plain_prediction(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, text(rng, EN if i % 2 else DE, 30), "en" if i % 2 else "de") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.fit(df)
+    asked = [(100, text(rng, EN, 9)), (101, text(rng, DE, 9)), (102, "Über  the!! Straße"), (103, "a")]
+    for r in li.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        lang, score = plain_language(model, dict(asked)[r.doc_id].encode())
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-5
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"word{i % 30} " * 5, f"l{i % 30}") for i in range(600)]
+    assert len(li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_total=90).languages) > 15
+
+
+def test_toxicity_against_a_plain_prediction(spark):
+    rng = np.random.default_rng(7)
+    docs = [(i, text(rng, EN, 30) + (" you moron!" if i % 3 == 0 else "")) for i in range(240)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = tx.fit(d, spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in docs], "doc_id long, toxic int"))
+    automaton = tx.Lexicon(model.learned).automaton()
+    for r in tx.score(d, model).collect():
+        x = tx.features(automaton, docs[r.doc_id][1])
+        total = model.base
+        for split, at, leaf in model.trees:
+            node = 0
+            while node < len(split):
+                k = split[node]
+                node = 2 * node + 1 + (sum(e < x[k] for e in model.edges[k]) > at[node])
+            total += leaf[node - len(split)]
+        p = 1 / (1 + np.exp(-total))
+        knots, values = list(model.knots), list(model.values)
+        j = next((j for j in range(1, len(knots)) if p < knots[j]), len(knots) - 1)
+        want = values[j - 1] + (values[j] - values[j - 1]) * (p - knots[j - 1]) / (knots[j] - knots[j - 1]) if knots[j] > knots[j - 1] else values[j]
+        assert abs(r.score - min(1, max(0, want))) < 1e-9

@@ -3,7 +3,7 @@
 A text is the average of the embeddings of its subwords, the byte n-grams of its lower-cased
 letters, hashed into a table; a linear layer and a softmax follow. Both layers are trained by
 stochastic gradient descent in numpy on a bounded sample of the labelled rows (SAMPLE_DOCS for
-each language, chosen by a hash of the id). At inference both layers are one table: a subword
+each language, SAMPLE_TOTAL for all, chosen by a hash of the id). At inference both layers are one table: a subword
 adds a row of embedding times weights, so a text costs a lookup for each byte and order.
 
 Scores are calibrated by a temperature, fitted on a fifth of the sample that training leaves
@@ -12,8 +12,9 @@ flagged as rejected. A text that is null or has no letter is "und".
 
 Defined cases: a null text and one without letters have the language "und", score 0, and are
 rejected; with no labelled row at all every text is "und"; languages with one label share the
-same path; equal rows get equal results; an empty table gives an empty result; other columns are
-ignored.
+same path; very long texts are hashed whole, piece by piece; of languages that score the same the
+first by name is taken; equal rows get equal results, and rows that repeat an id are judged each by
+its own text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from tidemark.llm.common import text_or_empty
 BUCKETS = 1 << 15
 DIM = 24
 ORDERS = (2, 3, 4)
-#: Documents of each language that training may see, about.
+#: Documents of each language that training may see, about, and of all languages together.
 SAMPLE_DOCS = 800
+SAMPLE_TOTAL = 20_000
 EPOCHS = 6
 BATCH = 32
 RATE = 4.0
@@ -135,13 +137,15 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b[0].astype("<i2" if BUCKETS <= 1 << 15 else "<i4").tobytes() for b in bags], pa.binary()), pa.array([b[1].astype("<f4").tobytes() for b in bags], pa.binary())], names=["lang", "at", "share"])
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_total: int = SAMPLE_TOTAL) -> Model | None:
     """A model from rows (doc_id, text, lang), or None without a labelled text. Only bags of at most BUCKETS
-    numbers come to the driver, for about sample_docs documents of each language."""
+    numbers come to the driver, for about sample_docs documents of each language, and about sample_total of all: with
+    many languages each has an equal part of that."""
     rows = docs.where(F.col("lang").isNotNull() & text_or_empty().rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
+    sample_docs = min(sample_docs, max(1, sample_total // len(sizes)))
     # A share of each language by hash: as many rows at every size of the corpus, and no sort.
     share = F.lit(0.0)
     for lang, n in sizes.items():

@@ -18,8 +18,9 @@ spelled in bytes too, so decoding gives back the text exactly.
 Ties between segmentations are broken depth first, the longest piece first.
 
 Defined cases: a null or empty text has no pieces, the score 0, one segmentation, and decodes to
-an empty text; equal rows get equal results; an empty table gives an empty result; other columns
-are ignored.
+an empty text; very long texts are segmented whole, link by link, in time linear in their length;
+equal rows get equal results, and rows that repeat an id are encoded each by its own text; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain, groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +43,25 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Links of a generation, and parts of links, that a worker remembers.
-REMEMBERED = 350_000
+#: Links of a generation, and parts of links, that a worker remembers: about 350 bytes each, two generations of both.
+REMEMBERED_LINKS = 60_000
+REMEMBERED_PARTS = 150_000
+#: Links searched in full that a worker remembers.
+REMEMBERED_SEARCHES = 20_000
 #: Longer links are searched without being remembered.
 LONG_LINK = 64
 
 
 class Vocabulary:
-    """Pieces and scores of a model file, and the segmentations found so far."""
+    """Pieces and scores of a model file, and the segmentations found so far.
 
-    def __init__(self, model: bytes, n_best: int = N_BEST) -> None:
+    as_text: segmentations are held as text (ids in decimal, a space after each), else as 32-bit numbers.
+    """
+
+    def __init__(self, model: bytes, n_best: int = N_BEST, as_text: bool = False) -> None:
         import sentencepiece
 
-        self.n_best = n_best
+        self.n_best, self.as_text = n_best, as_text
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.ids: dict[str, int] = {}
@@ -75,19 +84,23 @@ class Vocabulary:
         #: Links: a character that no piece has (a line break), or spaces and the word after them.
         alone = "\n" not in chars
         self.links = re.compile(r"\n| *[^ \n]+| +" if alone else r" *[^ ]+| +") if linked else re.compile(r"(?s).+")
-        #: Pieces by character; "" holds the score and id of a piece that ends at a node.
-        self.trie: dict = {}
+        #: Pieces by character: (what follows, score, id) of a prefix, the score None if it is no piece.
+        tree: dict = {}
         for piece, i in self.ids.items():
-            node = self.trie
+            node = tree
             for char in piece:
                 node = node.setdefault(char, {})
             node[""] = (self.scores[i], i)
+        frozen = lambda node: {char: (frozen(x), *x.get("", (None, 0))) for char, x in node.items() if char}
+        self.trie: dict = frozen(tree)
+        self.texts = [b"%d " % i for i in range(len(self.pieces))]
         #: Pairs of characters, as in texts, that stand side by side in a piece.
         self.beside = {pair.replace(SPACE, " ") for piece in self.ids for pair in map("".join, zip(piece, piece[1:]))}
         self.found: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
         self.known: dict[str, tuple] = {}
         self.before: dict[str, tuple] = {}
+        self.searched: dict[str, list] = {}
 
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For each end: its pieces as (start, score, ids), longest first, and the best score of each prefix."""
@@ -144,7 +157,7 @@ class Vocabulary:
         for start, char in enumerate(shown):
             a, b, end = one[start], two[start], start + 1
             node = trie.get(char)
-            if node is None or "" not in node:
+            if node is None or node[1] is None:
                 x = a + self.unknown
                 if x > one[end]:
                     two[end] = max(one[end], b + self.unknown)
@@ -152,9 +165,8 @@ class Vocabulary:
                 elif x > two[end]:
                     two[end] = x
             while node is not None:
-                piece = node.get("")
-                if piece is not None:
-                    score, i = piece
+                after, score, i = node
+                if score is not None:
                     x = a + score
                     y = one[end]
                     if x > y:
@@ -163,9 +175,9 @@ class Vocabulary:
                         back[end] = (start, i)
                     elif x > two[end]:
                         two[end] = x
-                if end == n:
+                if end == n or not after:
                     break
-                node = node.get(shown[end])
+                node = after.get(shown[end])
                 end += 1
         parts, at = [], n
         while at:
@@ -174,39 +186,45 @@ class Vocabulary:
             at = start
         return one[n], tuple(chain.from_iterable(reversed(parts))), one[n] - two[n]
 
-    def link(self, text: str) -> tuple[float, tuple[int, ...], float]:
-        """What two_best() finds for a link, from its parts: between two characters that stand side by side
-        in no piece, the lattice falls apart."""
+    def link(self, text: str) -> tuple[float, bytes, float, int, bool]:
+        """(score, form of the ids, loss of the second best, number of ids, whether they decode to the link), from the
+        link's parts: between two characters that stand side by side in no piece, the lattice falls apart."""
         got = self.older.pop(text, None)
         if got is not None:
             self._remember(text, got)
             return got
-        parts, begun = [], 0
+        parts, begun, beside = [], 0, self.beside
         for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in self.beside:
+            if text[k - 1 : k + 1] not in beside:
                 parts.append(text[begun:k])
                 begun = k
         parts.append(text[begun:])
         score, ids, loss = 0.0, (), float("inf")
         for part in parts:
-            got = self.known.get(part)
-            if got is None:
-                got = self.before.pop(part, None) or self.two_best(part)
-                if len(self.known) >= REMEMBERED:
+            found = self.known.get(part)
+            if found is None:
+                found = self.before.pop(part, None) or self.two_best(part)
+                if len(self.known) >= REMEMBERED_PARTS:
                     self.before, self.known = self.known, {}
-                self.known[part] = got
-            score, ids, loss = score + got[0], ids + got[1], min(loss, got[2])
-        got = (score, ids, loss)
+                self.known[part] = found
+            score, ids, loss = score + found[0], ids + found[1], min(loss, found[2])
+        got = (score, self.form(ids), loss, len(ids), self._shown(ids) == text)
         if len(text) <= LONG_LINK:
             self._remember(text, got)
         return got
 
     def _remember(self, text: str, got: tuple) -> None:
         """Links are kept for two generations, so that a full table doesn't forget the frequent ones."""
-        if len(self.found) >= REMEMBERED:
+        if len(self.found) >= REMEMBERED_LINKS:
             self.older, self.found = self.found, {}
         self.found[text] = got
 
+    def form(self, ids) -> bytes:
+        return b"".join([self.texts[i] for i in ids]) if self.as_text else np.array(ids, np.int32).tobytes()
+
+    def of_form(self, form: bytes) -> list[int]:
+        return list(map(int, form.split())) if self.as_text else np.frombuffer(form, np.int32).tolist()
+
     def chain_of(self, text: str) -> tuple[list[str], list[tuple]]:
         """The links of a whole text, with the dummy space before it, and what link() finds for them."""
         links, found = self.links.findall(" " + text) if text else [], self.found
@@ -214,11 +232,12 @@ class Vocabulary:
 
     def ranked_changes(self, links: list[str], got: list[tuple]) -> list[tuple[float, list[tuple]]]:
         """The n best results of the chain as (score, changes): pairs of a link's place and its other ids."""
-        n, top = self.n_best, sum([x[0] for x in got])
+        n, top = self.n_best, sum(map(_SCORE, got))
         # A result deviates in at most n-1 links, and only where the first loss is among the n-1 least.
-        firsts = [x[2] for x in got]
-        places = heapq.nsmallest(n - 1, range(len(firsts)), key=firsts.__getitem__)
-        near = [(k, results) for k in places if len(results := self.search(links[k])) > 1]
+        firsts = list(map(_LOSS, got))
+        limit = sorted(firsts)[: n - 1][-1:]
+        places = sorted([k for k, x in enumerate(firsts) if x <= limit[0]], key=firsts.__getitem__)[: n - 1] if limit else []
+        near = [(k, results) for k in places if len(results := self.searched.get(links[k]) or self._search_link(links[k])) > 1]
         loss_of = lambda j, rank: near[j][1][0][0] - near[j][1][rank][0]
         out: list[tuple[float, list[tuple]]] = [(top, [])]
         heap = [(loss_of(j, 1), ((j, 1),)) for j in range(len(near))]
@@ -233,37 +252,57 @@ class Vocabulary:
                 heapq.heappush(heap, (loss + loss_of(further, 1), (*changes, (further, 1))))
         return out
 
-    @staticmethod
-    def ids_of(got: list[tuple], changes=()) -> list[int]:
-        parts = [x[1] for x in got]
+    def _search_link(self, text: str) -> list[tuple[float, tuple[int, ...]]]:
+        """search(), remembered: the links that lose least are few and recur."""
+        got = self.search(text)
+        if len(text) <= LONG_LINK:
+            if len(self.searched) >= REMEMBERED_SEARCHES:
+                self.searched = {}
+            self.searched[text] = got
+        return got
+
+    def form_of(self, got: list[tuple], changes=()) -> tuple[bytes, int]:
+        """The form of a whole segmentation, and its number of ids."""
+        forms, n = list(map(_FORM, got)), sum(map(_COUNT, got))
         for k, ids in changes:
-            parts[k] = ids
-        return list(chain.from_iterable(parts))
+            forms[k] = self.form(ids)
+            n += len(ids) - got[k][3]
+        return b"".join(forms), n
 
     def n_best_chain(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text as (score, ids), best first."""
         links, got = self.chain_of(text)
-        return [(score, self.ids_of(got, changes)) for score, changes in self.ranked_changes(links, got)]
+        return [(score, self.of_form(self.form_of(got, changes)[0])) for score, changes in self.ranked_changes(links, got)]
+
+    def restores(self, text: str, links: list[str], got: list[tuple]) -> bool:
+        """Whether the best ids decode to the text: every link's to the link, and the links make up the text."""
+        return all(map(_RESTORED, got)) and "".join(links)[1:] == text
 
     def decode(self, ids) -> str:
         """The text of a segmentation: pieces and bytes joined, the dummy space taken off."""
+        return self._shown(ids)[1:]
+
+    def _shown(self, ids) -> str:
         shown, values = self.shown, self.byte_values
         if values.keys().isdisjoint(ids):
-            return "".join([shown[i] for i in ids])[1:]
+            return "".join([shown[i] for i in ids])
         out: list[str] = []
         for is_byte, run in groupby(ids, values.__contains__):
             out.append(bytes([values[i] for i in run]).decode("utf-8", "surrogatepass") if is_byte else "".join([shown[i] for i in run]))
-        return "".join(out)[1:]
+        return "".join(out)
 
 
-_LOADED: dict[tuple[bytes, int], Vocabulary] = {}
+#: Fields of what link() finds.
+_SCORE, _FORM, _LOSS, _COUNT, _RESTORED = map(itemgetter, range(5))
+_LOADED: dict[tuple, Vocabulary] = {}
 
 
-def vocabulary(model: bytes, n_best: int = N_BEST) -> Vocabulary:
-    """One per worker: what it has found serves its later tasks."""
-    key = (hashlib.sha256(model).digest(), n_best)
+def vocabulary(model: bytes, n_best: int = N_BEST, as_text: bool = False) -> Vocabulary:
+    """One per worker: what it has found serves its later tasks. Another model or form takes its place."""
+    key = (hashlib.sha256(model).digest(), n_best, as_text)
     if key not in _LOADED:
-        _LOADED[key] = Vocabulary(model, n_best)
+        _LOADED.clear()
+        _LOADED[key] = Vocabulary(model, n_best, as_text)
     return _LOADED[key]
 
 
@@ -273,6 +312,12 @@ def load(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _numbers(forms: list[bytes]) -> pa.Array:
+    """Lists of 32-bit numbers from their bytes."""
+    bounds = np.cumsum([0, *map(len, forms)]) // 4
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(forms), np.int32)))
+
+
 ENCODED = "doc_id long, ids array<int>, n_pieces long, score double, scores array<double>, n_best array<array<int>>, restored boolean, n_best_pieces array<long>, n_best_sha256 array<string>"
 
 
@@ -283,27 +328,29 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, alternative
     model = load(docs, path)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model.value, n_best)
-        shown = [str(i) for i in range(max(*v.ids.values(), *v.bytes.values()) + 1)] if digests else []
+        v = vocabulary(model.value, n_best, digests)
         for batch in rows:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out: list[list] = [[] for _ in range(8)]
+                counts, tops, scores, restored, ids, others, lengths, sums = ([] for _ in range(8))
                 for text in part.column(1):
                     text = text.as_py()
                     links, got = v.chain_of(text)
-                    ranked, ids = v.ranked_changes(links, got), v.ids_of(got)
-                    others = [v.ids_of(got, changes) for _, changes in ranked] if alternatives or digests else None
-                    lengths = sums = None
-                    restored, n = v.decode(ids) == text, len(ids)
-                    if digests:
-                        lengths = [len(x) for x in others]
-                        sums = [hashlib.sha256(" ".join([shown[i] for i in x]).encode()).hexdigest() for x in others]
-                        ids, others = None, others if alternatives else None
-                    for column, value in zip(out, (ids, n, ranked[0][0], [s for s, _ in ranked], others, restored, lengths, sums)):
-                        column.append(value)
-                kinds = (pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.list_(pa.int32())), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, k) for c, k in zip(out, kinds)]], names=["doc_id", "ids", "n_pieces", "score", "scores", "n_best", "restored", "n_best_pieces", "n_best_sha256"])
+                    ranked = v.ranked_changes(links, got)
+                    forms = [v.form_of(got, changes) for _, changes in (ranked if alternatives or digests else ranked[:1])]
+                    restored.append(v.restores(text, links, got))
+                    counts.append(forms[0][1])
+                    tops.append(ranked[0][0])
+                    scores.append([s for s, _ in ranked])
+                    ids.append(None if digests else forms[0][0])
+                    others.append([v.of_form(x) for x, _ in forms] if alternatives else None)
+                    lengths.append([n for _, n in forms] if digests else None)
+                    sums.append([hashlib.sha256(x[:-1]).hexdigest() for x, _ in forms] if digests else None)
+                columns = [
+                    part.column(0), pa.nulls(part.num_rows, pa.list_(pa.int32())) if digests else _numbers(ids), pa.array(counts, pa.int64()), pa.array(tops, pa.float64()), pa.array(scores, pa.list_(pa.float64())),
+                    pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(restored, pa.bool_()), pa.array(lengths, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.string())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "n_pieces", "score", "scores", "n_best", "restored", "n_best_pieces", "n_best_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(batches, ENCODED)

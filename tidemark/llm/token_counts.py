@@ -11,7 +11,8 @@ touches in proportion to bytes. Tokens outside of all sections count for section
 rule the counts sum to the document's tokens.
 
 Defined cases: a null or empty text has no tokens and one empty line section; empty sections get
-no token; equal rows get equal rows; an empty table gives an empty result; other columns are
+no token; very long texts are encoded whole; a tie under "most" goes to the earlier section; rows
+that repeat an id are counted each by its own text; equal rows get equal rows; an empty table gives an empty result; other columns are
 ignored.
 """
 

@@ -10,8 +10,10 @@ The sample is bounded: about SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, c
 of the id. Every document is scored as a whole.
 
 Defined cases: a null text counts as empty and is scored like any other; documents without a
-label are only scored; labels that are null are not learned from; a document with several equal
-labels weighs more; without any label, or with one class only, every score is that class's share
+label are only scored; labels that are null are not learned from; a document with several
+labels counts once for each; very long texts are scanned whole, in linear time; words that tie for
+the lexicon go by name; rows that repeat an id are scored each by its own text, and all of them
+learned from under the id's label; without any label, or with one class only, every score is that class's share
 (0 without labels); equal rows get equal scores; an empty table gives an empty result; other
 columns are ignored.
 """
