@@ -144,10 +144,10 @@ def test_actors_keys_and_bundles(spark, store):
         d.add(TrustRoot(name, "backup", s.public_key, n, approvals=frozenset({"x", "y"})))
     d.activate("backup", "one")
     with pytest.raises(ValueError):
-        d.revoke("backup", "one")
+        d.revoke("backup", "one", "lost")
     d.activate("backup", "two")
     assert d.signing_root("backup").key_id == "two" and d.verify("backup", b"x", alice.sign(b"x")).key_id == "one"
-    d.revoke("backup", "one")
+    d.revoke("backup", "one", "lost")
     with pytest.raises(Refused):
         d.verify("backup", b"x", alice.sign(b"x"))
 

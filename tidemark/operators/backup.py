@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import custody
 from tidemark.operators.custody import verify_manifest
 from tidemark.operators.security import Refused
 from tidemark.operators.store import Files
@@ -35,7 +37,7 @@ def _summary(files: DataFrame) -> dict:
     return {"files": r["files"], "bytes": r["bytes"], "lines": "".join(f"{r[f'x{k}']:015x}" for k in range(4))}
 
 
-def create(spark: SparkSession, root: str, target: str, tenant: str, signer) -> dict:
+def create(spark: SparkSession, root: str, target: str, tenant: str, signer, now_ms: int | None = None) -> dict:
     """Copies a store into target/data, writes its manifest, and signs it last; an unfinished copy has another name."""
     files = Files(spark, target)
     if files.fs.exists(files._path(target)):
@@ -47,17 +49,59 @@ def create(spark: SparkSession, root: str, target: str, tenant: str, signer) ->
     jvm.org.apache.hadoop.fs.FileUtil.copy(source.fs, source._path(root), files.fs, files._path(f"{part}/data"), False, conf)
     held = manifest(spark, f"{part}/data")
     held.write.parquet(f"{part}/manifest")
-    head = {"format_version": FORMAT, "tenant": tenant, **_summary(held)}
+    head = {"format_version": FORMAT, "tenant": tenant, "created_ms": int(time.time() * 1000) if now_ms is None else now_ms, **_summary(held)}
     signed = {"head": head, "key_id": signer.key_id, "signature": signer.sign(json.dumps(head, sort_keys=True).encode())}
     files.create(f"{part}/signature.json", json.dumps(signed))
     files.fs.rename(files._path(part), files._path(target))
     return head
 
 
+def signature(spark: SparkSession, target: str) -> dict:
+    return json.loads(Files(spark, target).read(f"{target}/signature.json"))
+
+
+def verify_with(spark: SparkSession, target: str, tenant: str, directory, role: str = "backup") -> DataFrame:
+    """As verify(), by the root that the backup names, if a key directory still trusts it."""
+    return verify(spark, target, tenant, directory._verify, directory.resolve(role, signature(spark, target)["key_id"]).public_key)
+
+
+def survey(spark: SparkSession, shelf: str, holds: dict[str, str] | None = None) -> DataFrame:
+    """(root, backup, created, held) of the backups on a shelf; whatever else lies there is left out."""
+    files = Files(spark, shelf)
+    rows = []
+    for name in files.names(shelf):
+        if ".partial-" not in name and files.fs.exists(files._path(f"{shelf}/{name}/signature.json")):
+            rows.append((shelf, name, int(signature(spark, f"{shelf}/{name}")["head"].get("created_ms", 0)), name in (holds or {})))
+    return spark.createDataFrame(rows, "root string, backup string, created long, held boolean")
+
+
+def newest(spark: SparkSession, shelf: str) -> str:
+    """The newest backup on a shelf. An empty shelf is an error: nothing to verify isn't a passed verification."""
+    found = custody.newest(survey(spark, shelf)).first()
+    if found is None:
+        raise FileNotFoundError(f"no backup in {shelf}")
+    return f"{shelf}/{found['backup']}"
+
+
+def prune(spark: SparkSession, shelf: str, keep_ms: int, minimum: int, holds: dict[str, str] | None = None, now_ms: int | None = None, apply: bool = False) -> dict[str, str]:
+    """The decision on each backup of a shelf, and with apply, the deletion of those marked "prune" and of nothing else."""
+    if keep_ms < 1 or minimum < 1:
+        raise ValueError("a policy keeps backups for some time, and one of them at least")
+    files = Files(spark, shelf)
+    if files.fs.exists(files._path(f"{shelf}/refs")):
+        raise ValueError(f"{shelf} is a store, no shelf of backups")
+    now = int(time.time() * 1000) if now_ms is None else now_ms
+    # A row for each backup of one shelf.
+    plan = {r["backup"]: r["decision"] for r in custody.retention(survey(spark, shelf, holds), minimum, now - keep_ms).collect()}
+    for name, decision in sorted(plan.items()):
+        if apply and decision == "prune":
+            files.delete(f"{shelf}/{name}")
+    return plan
+
+
 def verify(spark: SparkSession, target: str, tenant: str, check, public_key: str) -> DataFrame:
     """Files that differ from the signed manifest; raises if the signature, tenant or format isn't good."""
-    files = Files(spark, target)
-    signed = json.loads(files.read(f"{target}/signature.json"))
+    signed = signature(spark, target)
     head = signed["head"]
     if head["format_version"] > FORMAT or head["tenant"] != tenant or not check(public_key, json.dumps(head, sort_keys=True).encode(), signed["signature"]):
         raise Refused

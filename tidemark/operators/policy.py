@@ -47,6 +47,14 @@ def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return requests.join(named, same).drop(*[f"v_{f}" for f in FIELDS])
 
 
+def verdict(document: dict | None, request: dict) -> dict:
+    """One decision by a policy document, with its version, the request and why: what an audit keeps."""
+    effects = {e for *match, e in validate(document) if all(m is None or m == request.get(f) for m, f in zip(match, FIELDS))}
+    allowed = effects == {"Allow"}
+    why = "a rule denies" if "Deny" in effects else "a rule allows" if allowed else "no rule applies"
+    return {"decision": "Allow" if allowed else "Deny", "rationale": why, "version": str((document or {}).get("version", "")), "request": {f: request.get(f) for f in FIELDS}}
+
+
 def validate(document: dict | None) -> list[tuple]:
     """Rules of a policy document {version, rules}, as rows for the rules table. No document allows nothing."""
     if document is None:
