@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_store import counters, env, store  # noqa: F401
 from tidemark import cli
-from tidemark.operators import backup, drill, policy
+from tidemark.operators import backup, custody, drill, policy
 from tidemark.operators.security import ActorRegistry, KeyDirectory, Refused, SoftwareSigner, TrustRoot, attest, create_bundle, from_hex, verifier, verify_bundle_with
 from tidemark.operators.store import Store
 
@@ -155,5 +155,16 @@ def test_commands(spark, store, tmp_path, capsys):  # noqa: F811
 
 def test_percentiles(spark):
     df = spark.range(101).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("ms"))
-    r = cli.percentiles(df, "g", "ms").first()
+    r = custody.percentiles(df, "g", "ms").first()
     assert (r.n, r.p50, r.p95, r.p99) == (101, 50.0, 95.0, 99.0)
+
+
+def test_descriptions(spark):
+    from tidemark.functions import exprs as X
+
+    none = F.lit(None)
+    say = lambda c: spark.range(1).select(c.alias("v")).first().v
+    value = lambda kind, **k: say(X.describe_value(F.lit(kind), *[k.get(x, none) for x in ("size", "counter", "members", "flag", "body", "number")]))
+    assert value("blob", size=F.lit(5)) == "5 bytes of data" and value("flag", flag=F.lit(True)) == "true" and value("set", members=F.array(F.lit("a"))) == "set of 1"
+    assert value("text", body=F.lit("x" * 61)) == '"' + "x" * 60 + '..." (61 characters)' and value("number", number=F.lit(1.5)) == "1.5"
+    assert say(X.describe_key(F.lit(b"a/b"))) == "a/b" and say(X.describe_key(F.lit(b"\xff\xfe"))) == "<2 bytes>"

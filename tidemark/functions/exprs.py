@@ -187,3 +187,52 @@ def escalation(action_type: Column, target: Column, compensation: Column) -> Col
     return F.when(compensation.isNotNull(), F.format_string("%s on %s can't be undone; compensate with %s", verb, target, compensation)).otherwise(
         F.format_string("%s on %s can't be undone; a human must decide", verb, target)
     )
+
+
+def graph_level(key: Column) -> Column:
+    """Level of a key in a layered neighbour graph: floor(-ln(u) / ln 16), u in (0, 1) from the key's SHA-256, so that
+    it is the same whenever the graph is built."""
+    drawn = F.conv(F.left(F.sha2(key, 256), F.lit(13)), 16, 10).cast("long")
+    return F.floor(-F.ln((drawn + 0.5) / float(1 << 52)) / F.ln(F.lit(16.0))).cast("int")
+
+
+# ---- descriptions for people ---------------------------------------------------------------------
+
+SHOWN_CHARS = 60
+
+
+def shortened(text: Column) -> Column:
+    n = F.length(text)
+    return F.when(n <= SHOWN_CHARS, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(F.concat(F.lit('"'), F.left(text, F.lit(SHOWN_CHARS)), F.lit('..." ('), n.cast("string"), F.lit(" characters)")))
+
+
+def describe_value(kind: Column, size: Column, counter: Column, members: Column, flag: Column, body: Column, number: Column) -> Column:
+    """One line about a plain value; size: bytes of a blob."""
+    return (
+        F.when(kind == "blob", F.concat(size.cast("string"), F.lit(" bytes of data")))
+        .when(kind == "counter", F.concat(F.lit("counter "), counter.cast("string")))
+        .when(kind == "set", F.concat(F.lit("set of "), F.size(members).cast("string")))
+        .when(kind == "flag", flag.cast("string"))
+        .when(kind == "text", shortened(body))
+        .when(kind == "number", number.cast("string"))
+    )
+
+
+def describe_claim(subject: Column, predicate: Column, value: Column, method: Column, confidence: Column, evidence: Column, status: Column) -> Column:
+    """One line about a claim; evidence: how many items."""
+    sure = F.concat(F.floor(confidence * 100).cast("long").cast("string"), F.lit("%"))
+    return F.concat(subject, F.lit(" "), predicate, F.lit(" = "), value, F.lit(" ("), method, F.lit(", "), sure, F.lit(", evidence "), evidence.cast("string"), F.lit(", "), status, F.lit(")"))
+
+
+def describe_observation(source: Column, trust: Column) -> Column:
+    return F.concat(F.lit("observed from "), source, F.lit(" ("), trust_name(trust), F.lit(")"))
+
+
+def describe_node(actor: Column, key: Column, intent: Column) -> Column:
+    return F.concat(actor, F.lit(" wrote "), key, F.lit(": "), shortened(intent))
+
+
+def describe_key(key: Column) -> Column:
+    """A binary key as text, or its size where it isn't UTF-8."""
+    text = F.try_validate_utf8(key.cast("string")) if hasattr(F, "try_validate_utf8") else key.cast("string")
+    return F.coalesce(text, F.concat(F.lit("<"), F.octet_length(key).cast("string"), F.lit(" bytes>")))

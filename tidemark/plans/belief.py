@@ -144,6 +144,21 @@ def ids_and_displays(spark, sf_dir):
     return c.select("event_id", cid.alias("claim_id"), F.left(cid, F.lit(8)).alias("short_id"), X.action_id(F.concat(F.col("subject"), F.lit("/"), F.col("predicate"))).alias("action_id"), X.source_display(F.lit("evt"), F.col("event_id").cast("string")).alias("display"), X.method_name(F.col("method_rank")).alias("method"), X.trust_name(F.col("event_id") % 4).alias("trust"), X.trust_level(X.trust_name(F.col("event_id") % 4)).alias("trust_back"), X.method_rank(X.method_name(F.col("method_rank"))).alias("rank_back"))
 
 
+def record_descriptions(spark, sf_dir):
+    """A line for people about each record: plain values, texts cut at 60 characters, claims, observations, nodes."""
+    none = F.lit(None)
+    v = A.three_way(spark, sf_dir).where("side = 'base' and kind <> 'claim'")
+    values = v.select("key", X.describe_value(F.col("kind"), none, F.col("counter"), F.col("members"), none, F.col("body"), none).alias("line"))
+    d = A.table(spark, sf_dir, "documents")
+    texts = d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("key"), X.shortened(F.coalesce("text", F.lit(""))).alias("line"))
+    c, eid = A.claims(spark, sf_dir), F.col("event_id")
+    about = X.describe_claim(F.col("subject"), F.col("predicate"), F.concat(F.lit("event "), eid.cast("string")), X.method_name(F.col("method_rank")), F.col("confidence"), F.size("evidence"), F.col("status"))
+    seen = X.describe_observation(F.concat(F.lit("evt:"), eid.cast("string")), eid % 4)
+    node = X.describe_node(F.lit("agent"), F.concat(F.lit("c/"), F.col("subject")), F.col("predicate"))
+    lines = F.explode(F.array(*[F.struct(F.concat(F.lit(p), eid.cast("string")).alias("key"), x.alias("line")) for p, x in (("c/", about), ("o/", seen), ("n/", node))]))
+    return values.unionByName(texts).unionByName(c.select(lines.alias("x")).select("x.*"))
+
+
 def record_projections(spark, sf_dir):
     """What every record shows: additive kind, value in any wrapper, citations, staleness."""
     c = A.claims(spark, sf_dir)
@@ -167,7 +182,7 @@ def read_windows(spark, sf_dir):
     return e.groupBy(hour.alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap_contradictions, open_overlap_contradictions, claim_history_close, asof_single, asof_batch, late_arrival_split, superseded_versions, action_eligibility, ineligibility_reasons, confidence_combine, provenance_rank_winner, history_lookup, next_sequence, interval_builders, ids_and_displays, record_projections, read_windows)}
+QUERIES = {f.__name__: f for f in (interval_contains, interval_overlap_contradictions, open_overlap_contradictions, claim_history_close, asof_single, asof_batch, late_arrival_split, superseded_versions, action_eligibility, ineligibility_reasons, confidence_combine, provenance_rank_winner, history_lookup, next_sequence, interval_builders, ids_and_displays, record_descriptions, record_projections, read_windows)}
 
 _ASOF = "(valid_start IS NULL OR {v} >= valid_start) AND (valid_end IS NULL OR {v} < valid_end) AND (known_start IS NULL OR {k} >= known_start) AND (known_end IS NULL OR {k} < known_end)"
 _METHOD = "CASE {0} WHEN 5 THEN 'Direct' WHEN 4 THEN 'Human' WHEN 3 THEN 'Rule' WHEN 2 THEN 'Statistical' WHEN 1 THEN 'Imported' ELSE 'LanguageModel' END"
@@ -206,6 +221,12 @@ SQL = {
     "history_lookup": f"WITH {HISTORY_SQL} SELECT seq, event_id, object, known_start, known_end FROM history WHERE subject = '7' AND predicate = 'purchase'",
     "next_sequence": f"WITH {HISTORY_SQL} SELECT subject, predicate, max(seq) + 1 AS next_seq FROM history GROUP BY ALL",
     "interval_builders": f"""WITH {A.CLAIMS_SQL} SELECT event_id, valid_start AS from_start, CAST(NULL AS BIGINT) AS from_end, valid_end AS between_end, known_start AS closed_end, false AS holds_at_end FROM claims""",
+    "record_descriptions": f"""WITH {A.SIDES_SQL}, {A.CLAIMS_SQL}, t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+      SELECT key, CASE kind WHEN 'counter' THEN 'counter ' || counter WHEN 'set' THEN 'set of ' || len(members) ELSE '"' || body || '"' END AS line FROM sides WHERE side = 'base' AND kind <> 'claim'
+      UNION ALL SELECT 'd/' || doc_id, CASE WHEN length(text) <= 60 THEN '"' || text || '"' ELSE '"' || left(text, 60) || '..." (' || length(text) || ' characters)' END FROM t
+      UNION ALL SELECT 'c/' || event_id, subject || ' ' || predicate || ' = event ' || event_id || ' (' || {_METHOD.format('method_rank')} || ', ' || CAST(floor(confidence * 100) AS BIGINT) || '%, evidence ' || len(evidence) || ', ' || status || ')' FROM claims
+      UNION ALL SELECT 'o/' || event_id, 'observed from evt:' || event_id || ' (' || ['VerifiedSystem', 'Human', 'ThirdParty', 'Untrusted'][event_id % 4 + 1] || ')' FROM claims
+      UNION ALL SELECT 'n/' || event_id, 'agent wrote c/' || subject || ': "' || predicate || '"' FROM claims""",
     "ids_and_displays": f"""WITH {A.CLAIMS_SQL}, i AS (SELECT *, sha256({_FRAMED.format('subject')} || {_FRAMED.format('predicate')} || {_FRAMED.format('CAST(known_start AS VARCHAR)')}) AS cid FROM claims)
       SELECT event_id, cid AS claim_id, left(cid, 8) AS short_id, 'act-' || left(sha256(subject || '/' || predicate), 16) AS action_id, 'evt:' || event_id AS display, {_METHOD.format('method_rank')} AS method,
       CASE event_id % 4 WHEN 0 THEN 'VerifiedSystem' WHEN 1 THEN 'Human' WHEN 2 THEN 'ThirdParty' ELSE 'Untrusted' END AS trust, CAST(event_id % 4 AS INTEGER) AS trust_back, method_rank AS rank_back FROM i""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators import retrieval, vectors
+from tidemark.operators.custody import percentiles
 from tidemark.operators.versions import latest
 from tidemark.sources import adapters as A
 
@@ -108,6 +109,17 @@ def ann_recall(spark, sf_dir):
     return vectors.recall(found, vectors.exact_batch(vectors.union_buffer(cells, buffer), queries, 10))
 
 
+def graph_levels(spark, sf_dir):
+    """How many vectors a layered neighbour graph would have on each level, by the hash of their keys."""
+    return _keyed(spark, sf_dir).groupBy(X.graph_level(F.col("key")).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+
+
+def latency_percentiles(spark, sf_dir):
+    """Median, 95th and 99th percentile of the events' values by type, as of latencies."""
+    p = percentiles(A.table(spark, sf_dir, "events"), "event_type", "value")
+    return p.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
 def index_snapshot(spark, sf_dir):
     """The entries that a branch shows: the last write of each key, tombstones gone."""
     e = A.index_entries(spark, sf_dir).select("key", "citation", "label", "doc_id")
@@ -127,7 +139,7 @@ def index_on_write(spark, sf_dir):
     return docs.join(hints, "doc_id", "left").where(F.col("quality").isNotNull()).select("doc_id", F.array_join(cites, ",").alias("cites"), F.size(cites).alias("n")).where("n > 0").drop("n")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_terms, token_cost, score_text, score_blend, stale_penalty, pack_context, pack_tiny_budget, retrieve_filtered, cosine_pairs, knn_exact, knn_exact_batch, ann_union_buffer, ann_ivf_search, ann_recall, index_snapshot, index_on_write)}
+QUERIES = {f.__name__: f for f in (tokenize_terms, token_cost, score_text, score_blend, stale_penalty, pack_context, pack_tiny_budget, retrieve_filtered, cosine_pairs, knn_exact, knn_exact_batch, ann_union_buffer, ann_ivf_search, ann_recall, graph_levels, latency_percentiles, index_snapshot, index_on_write)}
 
 _TEXT = "(" + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN CAST(1 AS DOUBLE) ELSE 0 END" for t in TERMS) + f") / {len(TERMS)}"
 _VEC = "[" + ", ".join(str(x) for x in VECTOR) + "]::DOUBLE[]"
@@ -168,6 +180,10 @@ SQL = {
       SELECT query, key, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "ann_union_buffer": f"""WITH {_KEYED}, live AS (SELECT key, CASE WHEN vec_id % 40 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM keyed),
       s AS (SELECT key, round({_COS.format('embedding', _VEC)}, 9) AS s FROM live) SELECT key, round(s, 6) AS similarity, CAST(row_number() OVER (ORDER BY s DESC, key) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""",
+    "graph_levels": f"""WITH {_KEYED}, l AS (SELECT key, CAST(floor(-ln((CAST('0x' || left(sha256(key), 13) AS BIGINT) + 0.5) / 4503599627370496) / ln(16.0)) AS INTEGER) AS level FROM keyed)
+      SELECT level, count(*) AS n, min(key) AS first_key FROM l GROUP BY level""",
+    "latency_percentiles": """SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99
+      FROM events GROUP BY event_type""",
     "index_snapshot": f"""WITH {A.INDEX_SQL} SELECT key, citation, CAST(CASE WHEN doc_id % 7 = 0 THEN 3 ELSE label END AS INTEGER) AS label, CAST(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS INTEGER) AS seq FROM index_entries WHERE doc_id % 11 <> 0""",
     "index_on_write": """SELECT d.doc_id, source || ':' || d.doc_id AS cites FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l USING (doc_id)
       WHERE quality IS NOT NULL AND (d.doc_id % 3 = 0 OR (d.doc_id % 3 = 1 AND d.doc_id % 2 = 0))""",
