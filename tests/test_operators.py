@@ -265,3 +265,19 @@ def test_plan_order(spark):
     rows = recall.ordered(recall.plan(nodes, done, "web:S")).collect()
     assert [(r.action_type, r.target, r.action_id) for r in rows[:4]] == [("a", "u", "1"), ("a", "u", "2"), ("a", "v", "3"), ("z", "u", "1")]
     assert [(r.branch, r.key) for r in rows[4:]] == [("h1", "k1"), ("h1", "k2"), ("main", "k1"), ("main", "k2")]
+
+
+def test_floods_with_small_and_large_frontiers(spark):
+    """The same answer whether frontiers are broadcast or the edges dealt out into buckets."""
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame(sorted({(b, f"n{x}", f"n{y}") for b in ("main", "h1") for x, y in rng.integers(0, 200, (400, 2)) if x < y}), "branch string, parent string, node_id string")
+    seeds = spark.createDataFrame([("main", "n0"), ("h1", "n1"), ("main", "n5")], "branch string, node_id string")
+    rows = lambda: sorted((r.branch, r.node_id, r.depth, tuple(r.path)) for r in graph.flood(edges, seeds, with_path=True).collect())
+    small = rows()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert rows() == small and len(small) > 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
