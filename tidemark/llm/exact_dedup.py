@@ -218,11 +218,11 @@ def tagged_groups(docs: DataFrame, huge_chars: int = HUGE_CHARS) -> DataFrame:
     shared = cut(hashed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("id", "tag"), order).alias("rep")).where(F.col("n") > 1))
     # Rows that repeat an id with its text are one.
     members = hashed.join(shared, key).select("id", "tag", F.col("rep.id").alias("rep_id"), F.col("rep.tag").alias("rep_tag")).dropDuplicates(["id", "tag"])
+    members = members.withColumn("own", (F.col("id") == F.col("rep_id")) & (F.col("tag") == F.col("rep_tag")))
     texts = docs.select(id_of().alias("id"), text_or_empty().alias("text")).withColumn("tag", tag_of())
     with_text = texts.join(members, ["id", "tag"])
-    own = (F.col("id") == F.col("rep_id")) & (F.col("tag") == F.col("rep_tag"))
-    reps = with_text.where(own).groupBy("id", "tag").agg(F.first("text").alias("rep_text")).withColumnsRenamed({"id": "rep_id", "tag": "rep_tag"})
-    both = with_text.where(~own).join(reps, ["rep_id", "rep_tag"])
+    reps = with_text.where("own").groupBy("id", "tag").agg(F.first("text").alias("rep_text")).withColumnsRenamed({"id": "rep_id", "tag": "rep_tag"})
+    both = with_text.where("not own").join(reps, ["rep_id", "rep_tag"])
     same = cut(both.select("id", "text", "rep_text", "tag").mapInArrow(_same_batches, "id long, tag long, same boolean"))
     differ = same.where(~F.col("same")).select("id", "tag", F.lit(True).alias("differs")).distinct()
     marked = hashed.join(differ, ["id", "tag"], "left").withColumn("class", F.when(F.col("differs"), F.col("text_sha256")))
