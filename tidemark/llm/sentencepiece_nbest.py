@@ -30,7 +30,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain, groupby
-from operator import itemgetter
+from operator import add, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Links of a generation, and parts of links, that a worker remembers: about 350 bytes each, two generations of both.
-REMEMBERED_LINKS = 60_000
+REMEMBERED_LINKS = 200_000
 REMEMBERED_PARTS = 150_000
 #: Links searched in full that a worker remembers.
 REMEMBERED_SEARCHES = 20_000
@@ -151,34 +151,37 @@ class Vocabulary:
         """Best score and ids, and how much the second best loses: a forward pass over the trie of pieces that
         keeps two scores at each place."""
         shown = text.replace(SPACE, "￿").replace(" ", SPACE)
-        n, low, trie = len(shown), float("-inf"), self.trie
-        one, two, back = [low] * (n + 1), [low] * (n + 1), [(0, 0)] * (n + 1)
+        n, low, trie = len(shown), -_INF, self.trie
+        one, two, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
         one[0] = 0.0
-        for start, char in enumerate(shown):
-            a, b, end = one[start], two[start], start + 1
-            node = trie.get(char)
-            if node is None or node[1] is None:
-                x = a + self.unknown
-                if x > one[end]:
-                    two[end] = max(one[end], b + self.unknown)
-                    one[end], back[end] = x, (start, -1)
-                elif x > two[end]:
-                    two[end] = x
-            while node is not None:
+        for start in range(n):
+            a, b, end = one[start], two[start], start
+            after, covered = trie, False
+            while after and end < n:
+                node = after.get(shown[end])
+                if node is None:
+                    break
                 after, score, i = node
+                end += 1
                 if score is not None:
                     x = a + score
                     y = one[end]
                     if x > y:
-                        two[end] = y if y > b + score else b + score
+                        z = b + score
+                        two[end] = y if y > z else z
                         one[end] = x
-                        back[end] = (start, i)
+                        back[end] = start, i
                     elif x > two[end]:
                         two[end] = x
-                if end == n or not after:
-                    break
-                node = after.get(shown[end])
-                end += 1
+                    if end == start + 1:
+                        covered = True
+            if not covered:
+                x, end = a + self.unknown, start + 1
+                if x > one[end]:
+                    two[end] = max(one[end], b + self.unknown)
+                    one[end], back[end] = x, (start, -1)
+                elif x > two[end]:
+                    two[end] = x
         parts, at = [], n
         while at:
             start, i = back[at]
@@ -193,21 +196,23 @@ class Vocabulary:
         if got is not None:
             self._remember(text, got)
             return got
-        parts, begun, beside = [], 0, self.beside
-        for k in range(1, len(text)):
-            if text[k - 1 : k + 1] not in beside:
-                parts.append(text[begun:k])
-                begun = k
-        parts.append(text[begun:])
-        score, ids, loss = 0.0, (), float("inf")
-        for part in parts:
-            found = self.known.get(part)
+        beside, known = self.beside, self.known
+        cuts = [k for k, pair in enumerate(map(add, text, text[1:]), 1) if pair not in beside]
+        score, ids, loss, begun = 0.0, (), _INF, 0
+        for end in (*cuts, len(text)):
+            part = text[begun:end]
+            begun = end
+            found = known.get(part)
             if found is None:
                 found = self.before.pop(part, None) or self.two_best(part)
-                if len(self.known) >= REMEMBERED_PARTS:
-                    self.before, self.known = self.known, {}
-                self.known[part] = found
-            score, ids, loss = score + found[0], ids + found[1], min(loss, found[2])
+                if len(known) >= REMEMBERED_PARTS:
+                    self.before, self.known = known, {}
+                    known = self.known
+                known[part] = found
+            score += found[0]
+            ids += found[1]
+            if found[2] < loss:
+                loss = found[2]
         got = (score, self.form(ids), loss, len(ids), self._shown(ids) == text)
         if len(text) <= LONG_LINK:
             self._remember(text, got)
@@ -294,6 +299,7 @@ class Vocabulary:
 
 #: Fields of what link() finds.
 _SCORE, _FORM, _LOSS, _COUNT, _RESTORED = map(itemgetter, range(5))
+_INF = float("inf")
 _LOADED: dict[tuple, Vocabulary] = {}
 
 
