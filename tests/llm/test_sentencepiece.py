@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import os
+import random
 
 import pytest
 
@@ -51,6 +52,36 @@ def test_n_best_against_all_segmentations(vocab, text):
     assert all(vocab.decode(ids) == text for _, ids in got)
 
 
+def test_links_side_by_side_as_one_by_one(vocab, monkeypatch):
+    rng = random.Random(5)
+    made = ["".join(rng.choices(" abcdethé日本▁😀\0.", k=rng.randint(1, 24))) for _ in range(3000)]
+    texts = ["a", " ", "\n", "\0", "aaaaaaaa", " the", "😀", *made]
+    monkeypatch.setattr(sp, "SIDE_BY_SIDE", 500)
+    got = vocab.two_best_of_many(texts)
+    assert vocab.two_best_of_many([]) == [] and sum(x is not None for x in got) > 500
+    for text, x in zip(texts, got):
+        if any(c != " " and (c == sp.SPACE or c not in vocab.ids) for c in text):
+            assert x is None
+        else:
+            assert x == vocab.two_best(text)
+
+
+def test_new_links_take_one_forward_pass(vocab, monkeypatch):
+    texts = ["links which nobody had seen till now", "no  plain\n\n spaces \n", "nul\0 character", "", " a", "a "]
+    want = [vocab.search(" " + t) if t else [(0.0, ())] for t in texts]
+    with open(sp.MODEL, "rb") as f:
+        fresh = sp.Vocabulary(f.read(), 4)
+    single = []
+    one_by_one = fresh.two_best
+    monkeypatch.setattr(fresh, "two_best", lambda x: single.append(x) or one_by_one(x))
+    monkeypatch.setattr(sp, "TOGETHER", 50)
+    chains = list(fresh.chains(texts))
+    assert set("".join(single)) <= set("\n\0nul ")  # only links with a character that has no piece
+    for text, (links, got), expected in zip(texts, chains, want, strict=True):
+        assert links == (fresh.links.findall(" " + text) if text else [])
+        assert [score for score, _ in fresh.ranked_changes(links, got)] == [score for score, _ in expected]
+
+
 def test_rows(spark):
     rows = [(0, "the cat sat\n\n on ▁ 😀"), (1, None), (2, ""), (3, " " * 50), (4, "ab " * 20000), (4, "ab " * 20000)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids int")

@@ -8,7 +8,7 @@ and no others are expanded. No tokenizer is trained: scores and pieces are the m
 No piece of the vocabulary reaches over the start of a word or over a character that has no
 piece, which is checked when the model is loaded. The lattice of a text therefore is a chain of
 small lattices, which recur. For each link the best and the loss of the second best are found
-once and remembered; the n-1 links with the least loss, the only ones in which one of the n best
+once and remembered, by one forward pass over all new links of many texts side by side; the n-1 links with the least loss, the only ones in which one of the n best
 can deviate, are searched in full, and the n best of the chain come best first over the losses.
 
 A character without a piece is spelled in the model's byte pieces, at the score of an unknown
@@ -28,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 from operator import add, itemgetter
 
@@ -44,12 +44,16 @@ N_BEST = 4
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Links of a generation, and parts of links, that a worker remembers: about 350 bytes each, two generations of both.
-REMEMBERED_LINKS = 200_000
-REMEMBERED_PARTS = 150_000
+REMEMBERED_LINKS = 300_000
+REMEMBERED_PARTS = 50_000
 #: Links searched in full that a worker remembers.
 REMEMBERED_SEARCHES = 20_000
-#: Longer links are searched without being remembered.
+#: Longer links are searched without being remembered, and one by one.
 LONG_LINK = 64
+#: New links that go through the forward pass side by side.
+SIDE_BY_SIDE = 4_096
+#: Texts whose links are looked up together: so many characters, or one text that is longer.
+TOGETHER = 2_000_000
 
 
 class Vocabulary:
@@ -84,6 +88,7 @@ class Vocabulary:
         #: Links: a character that no piece has (a line break), or spaces and the word after them.
         alone = "\n" not in chars
         self.links = re.compile(r"\n| *[^ \n]+| +" if alone else r" *[^ ]+| +") if linked else re.compile(r"(?s).+")
+        self.split_at_spaces = linked and alone
         #: Pieces by character: (what follows, score, id) of a prefix, the score None if it is no piece.
         tree: dict = {}
         for piece, i in self.ids.items():
@@ -93,6 +98,7 @@ class Vocabulary:
             node[""] = (self.scores[i], i)
         frozen = lambda node: {char: (frozen(x), *x.get("", (None, 0))) for char, x in node.items() if char}
         self.trie: dict = frozen(tree)
+        self._lay_out_trie()
         self.texts = [b"%d " % i for i in range(len(self.pieces))]
         #: Pairs of characters, as in texts, that stand side by side in a piece.
         self.beside = {pair.replace(SPACE, " ") for piece in self.ids for pair in map("".join, zip(piece, piece[1:]))}
@@ -102,6 +108,99 @@ class Vocabulary:
         self.before: dict[str, tuple] = {}
         self.searched: dict[str, list] = {}
 
+    def _lay_out_trie(self) -> None:
+        """The trie as arrays, for many links at once: the child of node x by character c stands at place[x] + c if
+        owner there is x. Nodes with most children are placed first, each at the first free places that it tries."""
+        chars = sorted({c for piece in self.ids for c in piece})
+        code = {c: k for k, c in enumerate(chars, 1)}
+        children: list[dict[int, int]] = [{}]
+        score, ids = [-_INF], [-1]
+        for piece, i in self.ids.items():
+            at = 0
+            for char in piece:
+                if (then := children[at].get(code[char])) is None:
+                    then = children[at][code[char]] = len(children)
+                    children.append({})
+                    score.append(-_INF)
+                    ids.append(-1)
+                at = then
+            score[at], ids[at] = self.scores[i], i
+        size = 4 * len(children)
+        owner, child, place = [-1] * (size + len(code) + 1), [0] * (size + len(code) + 1), [0] * len(children)
+        for node in sorted(range(len(children)), key=lambda x: -len(children[x])):
+            if children[node]:
+                base = node * 2_654_435_761 % size
+                while any(owner[base + c] >= 0 for c in children[node]):
+                    base = (base + 1) % size
+                place[node] = base
+                for c, then in children[node].items():
+                    owner[base + c], child[base + c] = node, then
+        self.place, self.owner, self.child = (np.array(x, np.int32) for x in (place, owner, child))
+        self.node_score, self.node_id = np.array(score), np.array(ids, np.int32)
+        #: Number of a character of a text, 0 if no piece is that character alone.
+        self.code = np.zeros(0x110000, np.int32)
+        for char, k in code.items():
+            if char in self.ids and char not in (" ", SPACE):
+                self.code[ord(char)] = k
+        if SPACE in self.ids:
+            self.code[ord(" ")] = code[SPACE]
+
+    def two_best_of_many(self, texts: list[str]) -> list[tuple[float, tuple[int, ...], float] | None]:
+        """two_best() of each text, all in one forward pass over arrays; None where a character has no piece."""
+        out: list = [None] * len(texts)
+        lengths = np.array([len(x) for x in texts], np.int64)
+        for chosen in np.array_split(np.argsort(-lengths, kind="stable"), -(-len(texts) // SIDE_BY_SIDE) or 1):
+            n, m = lengths[chosen], len(chosen)
+            codes = np.zeros((int(n.max(initial=0)), m), np.int32)
+            column = np.repeat(np.arange(m), n)
+            row = np.arange(len(column)) - np.repeat(np.cumsum(n) - n, n)
+            raw = "".join([texts[k] for k in chosen.tolist()]).encode("utf-32-le", "surrogatepass")
+            codes[row, column] = self.code[np.frombuffer(raw, np.uint32)]
+            usable = np.bincount(column, codes[row, column] == 0, m) == 0
+            for k, got in zip(chosen[usable].tolist(), self._pass_over(codes[:, usable], n[usable])):
+                out[k] = got
+        return out
+
+    def _pass_over(self, codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[float, tuple[int, ...], float]]:
+        """codes: a column for each text, longest first, 0 after its end."""
+        width, m = codes.shape
+        one, two = np.full((width + 1, m), -_INF), np.full((width + 1, m), -_INF)
+        back, piece = np.zeros((width + 1, m), np.int32), np.zeros((width + 1, m), np.int32)
+        one[0] = 0.0
+        for start in range(width):
+            rows = np.arange(int(np.count_nonzero(n > start)))
+            node = np.zeros(len(rows), np.int32)
+            for end in range(start + 1, width + 1):
+                at = self.place[node] + codes[end - 1, rows]
+                on = self.owner[at] == node
+                rows, node = rows[on], self.child[at[on]]
+                if not len(rows):
+                    break
+                score = self.node_score[node]
+                whole = score > -_INF
+                r, score = rows[whole], score[whole]
+                # As in two_best(): pieces come longest first to each end, and of equal scores the first stays.
+                x, y = one[start, r] + score, one[end, r]
+                better = x > y
+                two[end, r] = np.maximum(np.where(better, y, two[end, r]), np.where(better, two[start, r] + score, x))
+                r = r[better]
+                one[end, r], back[end, r], piece[end, r] = x[better], start, self.node_id[node[whole][better]]
+        every = np.arange(m)
+        best, loss = one[n, every], one[n, every] - two[n, every]
+        rows, at, steps = every, n, []
+        while len(rows):
+            steps.append((rows, piece[at, rows]))
+            at = back[at, rows]
+            rows, at = rows[at > 0], at[at > 0]
+        counts = np.bincount(np.concatenate([every[:0], *[r for r, _ in steps]]), minlength=m)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.zeros(bounds[-1], np.int32)
+        for k, (r, i) in enumerate(steps, 1):
+            flat[bounds[1:][r] - k] = i
+        ids, bounds = flat.tolist(), bounds.tolist()
+        for k, (top, lost) in enumerate(zip(best.tolist(), loss.tolist())):
+            yield top, tuple(ids[bounds[k] : bounds[k + 1]]), lost
+
     def lattice(self, text: str) -> tuple[str, list[list[tuple[int, float, tuple[int, ...]]]], list[float]]:
         """For each end: its pieces as (start, score, ids), longest first, and the best score of each prefix."""
         shown = text.replace(SPACE, "￿").replace(" ", SPACE)
@@ -218,6 +317,23 @@ class Vocabulary:
             self._remember(text, got)
         return got
 
+    def all_links(self, links: Iterable[str]) -> dict[str, tuple]:
+        """link() of each of the links; short ones that are not remembered are settled side by side."""
+        out, new = {}, []
+        for text in set(links):
+            if len(text) > LONG_LINK or text in self.found or text in self.older:
+                out[text] = self.found.get(text) or self.link(text)
+            else:
+                new.append(text)
+        for text, best in zip(new, self.two_best_of_many(new)):
+            if best is None:
+                out[text] = self.link(text)
+                continue
+            score, ids, loss = best
+            got = out[text] = (score, self.form(ids), loss, len(ids), self._pieces_shown(ids) == text)
+            self._remember(text, got)
+        return out
+
     def _remember(self, text: str, got: tuple) -> None:
         """Links are kept for two generations, so that a full table doesn't forget the frequent ones."""
         if len(self.found) >= REMEMBERED_LINKS:
@@ -230,18 +346,44 @@ class Vocabulary:
     def of_form(self, form: bytes) -> list[int]:
         return list(map(int, form.split())) if self.as_text else np.frombuffer(form, np.int32).tolist()
 
-    def chain_of(self, text: str) -> tuple[list[str], list[tuple]]:
-        """The links of a whole text, with the dummy space before it, and what link() finds for them."""
-        links, found = self.links.findall(" " + text) if text else [], self.found
-        return links, [found.get(x) or self.link(x) for x in links]
+    def links_of(self, text: str) -> list[str]:
+        """The links of a whole text, with the dummy space before it."""
+        if not text:
+            return []
+        text = " " + text
+        if self.split_at_spaces and "  " not in text and "\0" not in text:
+            return list(filter(None, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
+        return self.links.findall(text)
+
+    def chains(self, texts: Iterable[str]) -> Iterator[tuple[list[str], list[tuple]]]:
+        """The links of each text and what link() finds for them."""
+        held: list[tuple[list[str], list]] = []
+        size = 0
+
+        def settled() -> list[tuple[list[str], list[tuple]]]:
+            missing = [[k for k, x in enumerate(got) if x is None] if None in got else [] for _, got in held]
+            new = self.all_links(links[k] for (links, _), places in zip(held, missing) for k in places)
+            for (links, got), places in zip(held, missing):
+                for k in places:
+                    got[k] = new[links[k]]
+            return held
+
+        for text in texts:
+            if held and size + len(text) > TOGETHER:
+                yield from settled()
+                held, size = [], 0
+            links = self.links_of(text)
+            held.append((links, list(map(self.found.get, links))))
+            size += len(text)
+        yield from settled()
 
     def ranked_changes(self, links: list[str], got: list[tuple]) -> list[tuple[float, list[tuple]]]:
         """The n best results of the chain as (score, changes): pairs of a link's place and its other ids."""
         n, top = self.n_best, sum(map(_SCORE, got))
         # A result deviates in at most n-1 links, and only where the first loss is among the n-1 least.
-        firsts = list(map(_LOSS, got))
-        limit = sorted(firsts)[: n - 1][-1:]
-        places = sorted([k for k, x in enumerate(firsts) if x <= limit[0]], key=firsts.__getitem__)[: n - 1] if limit else []
+        firsts = np.fromiter(map(_LOSS, got), np.float64, len(got))
+        limit = np.partition(firsts, n - 2)[n - 2] if 1 < n <= len(got) else _INF
+        places = sorted(np.flatnonzero(firsts <= limit).tolist(), key=firsts.__getitem__)[: n - 1]
         near = [(k, results) for k in places if len(results := self.searched.get(links[k]) or self._search_link(links[k])) > 1]
         loss_of = lambda j, rank: near[j][1][0][0] - near[j][1][rank][0]
         out: list[tuple[float, list[tuple]]] = [(top, [])]
@@ -266,18 +408,23 @@ class Vocabulary:
             self.searched[text] = got
         return got
 
-    def form_of(self, got: list[tuple], changes=()) -> tuple[bytes, int]:
-        """The form of a whole segmentation, and its number of ids."""
-        forms, n = list(map(_FORM, got)), sum(map(_COUNT, got))
-        for k, ids in changes:
-            forms[k] = self.form(ids)
-            n += len(ids) - got[k][3]
-        return b"".join(forms), n
+    def forms_of(self, got: list[tuple], ranked: list[tuple[float, list[tuple]]]) -> list[tuple[bytes, int]]:
+        """The forms of whole segmentations, and their numbers of ids."""
+        best, n = list(map(_FORM, got)), sum(map(_COUNT, got))
+        out = []
+        for _, changes in ranked:
+            forms, count = best.copy() if changes else best, n
+            for k, ids in changes:
+                forms[k] = self.form(ids)
+                count += len(ids) - got[k][3]
+            out.append((b"".join(forms), count))
+        return out
 
     def n_best_chain(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a whole text as (score, ids), best first."""
-        links, got = self.chain_of(text)
-        return [(score, self.of_form(self.form_of(got, changes)[0])) for score, changes in self.ranked_changes(links, got)]
+        links, got = next(self.chains([text]))
+        ranked = self.ranked_changes(links, got)
+        return [(score, self.of_form(form)) for (score, _), (form, _) in zip(ranked, self.forms_of(got, ranked))]
 
     def restores(self, text: str, links: list[str], got: list[tuple]) -> bool:
         """Whether the best ids decode to the text: every link's to the link, and the links make up the text."""
@@ -290,12 +437,17 @@ class Vocabulary:
     def _shown(self, ids) -> str:
         shown, values = self.shown, self.byte_values
         if values.keys().isdisjoint(ids):
-            return "".join([shown[i] for i in ids])
+            return self._pieces_shown(ids)
         out: list[str] = []
         for is_byte, run in groupby(ids, values.__contains__):
             out.append(bytes([values[i] for i in run]).decode("utf-8", "surrogatepass") if is_byte else "".join([shown[i] for i in run]))
         return "".join(out)
 
+    def _pieces_shown(self, ids) -> str:
+        """_shown() of ids that have no byte pieces among them."""
+        shown = self.shown
+        return "".join([shown[i] for i in ids])
+
 
 #: Fields of what link() finds.
 _SCORE, _FORM, _LOSS, _COUNT, _RESTORED = map(itemgetter, range(5))
@@ -339,11 +491,10 @@ def encode(docs: DataFrame, path: str = MODEL, n_best: int = N_BEST, alternative
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 counts, tops, scores, restored, ids, others, lengths, sums = ([] for _ in range(8))
-                for text in part.column(1):
-                    text = text.as_py()
-                    links, got = v.chain_of(text)
+                texts = part.column(1).to_pylist()
+                for text, (links, got) in zip(texts, v.chains(texts)):
                     ranked = v.ranked_changes(links, got)
-                    forms = [v.form_of(got, changes) for _, changes in (ranked if alternatives or digests else ranked[:1])]
+                    forms = v.forms_of(got, ranked if alternatives or digests else ranked[:1])
                     restored.append(v.restores(text, links, got))
                     counts.append(forms[0][1])
                     tops.append(ranked[0][0])
